@@ -16,7 +16,14 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.with_media(docs))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlake.llm import ngram_join
+
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), k=4, share=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op9_media_columns": op9_media_columns,
 }
 
