@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from emberlake.llm.tables import table
 
@@ -22,9 +23,73 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(table(spark, sf_dir, "documents"), k=4, share=85)
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlake.llm import secrets
+
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlake.llm import chat
+
+    said = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = F.inline(F.array(*(F.struct(F.lit(-7).cast("long"), F.lit(i).cast("long"), F.lit(role), F.lit(said)) for i, role in enumerate(("user", "assistant")))))
+    more = spark.range(1).select(extra.alias("conv_id", "turn", "role", "text"))
+    return chat.digests(chat.render(chat.fold(chat.as_events(rows.union(more)))))
+
+
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlake.llm import fingerprints
+
+    return fingerprints.with_next(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlake.llm import substrings
+
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=20)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from emberlake.llm import packing
+
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlake.llm import warc
+
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "offset", "length"]
+    return warc.history(table(spark, sf_dir, "pages"), least_bytes=0).select(columns)
+
+
+def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlake.llm import mixing
+
+    return mixing.laps(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlake.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_secret_scans": op2_secret_scans,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op4_document_fingerprints": op4_document_fingerprints,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_warc": op7_warc,
+    "op8_mixing_sources": op8_mixing_sources,
     "op9_media_columns": op9_media_columns,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
