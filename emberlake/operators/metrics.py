@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from emberlake.functions import buckets, hist
 from emberlake.operators.traces import within
 
-BY_TIME = Window.partitionBy("series_id").orderBy("timestamp", "id")
 EXEMPLARS, CARRIERS = 5, 2
 
 
+def by_time():
+    return Window.partitionBy("series_id").orderBy("timestamp", "id")
+
+
 @dataclass(frozen=True)
 class Request:
     """What a caller asks of one metric. None and empty lists differ as noted."""
@@ -79,7 +82,7 @@ def finite_scalars(points: DataFrame) -> DataFrame:
 
 def deltas(points: DataFrame) -> DataFrame:
     """Activity since the previous reading of the series; a fall is a restart and counts whole. First readings have none."""
-    prev = F.lag("value").over(BY_TIME)
+    prev = F.lag("value").over(by_time())
     p = finite_scalars(points).withColumn("prev", prev)
     fell = F.col("value") < F.col("prev")
     return p.withColumn("delta", F.when(fell, F.col("value")).otherwise(F.col("value") - F.col("prev"))).withColumn("is_reset", fell).drop("prev")
@@ -87,7 +90,7 @@ def deltas(points: DataFrame) -> DataFrame:
 
 def cadence(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Median over series of each series' median positive gap, in all or for each of ``by``."""
-    gaps = points.withColumn("gap", F.col("timestamp") - F.lag("timestamp").over(BY_TIME)).filter("gap > 0")
+    gaps = points.withColumn("gap", F.col("timestamp") - F.lag("timestamp").over(by_time())).filter("gap > 0")
     per = gaps.groupBy(*by, "series_id").agg(F.median("gap").alias("gap"))
     return per.groupBy(*by).agg(F.median("gap").alias("cadence_ns"))
 
@@ -229,7 +232,7 @@ def _activity(points: DataFrame, vectors: Sequence[str], scalars: Sequence[str])
     """Cumulative readings as the activity of their interval. Scalars restart where the count falls, a vector where any element does."""
     p = points
     for c in (*scalars, *vectors):
-        p = p.withColumn(f"prev_{c}", F.lag(c).over(BY_TIME))
+        p = p.withColumn(f"prev_{c}", F.lag(c).over(by_time()))
     p = p.filter("prev_count is not null")
     fell = F.col("count") < F.col("prev_count")
     p = p.withColumns({c: F.when(fell, F.col(c)).otherwise(F.col(c) - F.col(f"prev_{c}")) for c in scalars} | {v: F.coalesce(hist.subtract_vectors(F.col(v), F.col(f"prev_{v}")), F.col(v)) for v in vectors})
