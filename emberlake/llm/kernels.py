@@ -104,7 +104,7 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     out = words[:m] * COEF[0]
     for i in range(1, k):
         out += words[i : m + i] * COEF[i]
-    return mix(out + U64(k) * COEF[62])
+    return mix(out + U64(k * int(COEF[62]) % (1 << 64)))
 
 
 def set_of(words: np.ndarray, grams: np.ndarray, a: int, b: int, k: int) -> np.ndarray:

@@ -62,7 +62,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlake.llm import warc
 
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "offset", "length"]
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return warc.history(table(spark, sf_dir, "pages"), least_bytes=0).select(columns)
 
 
@@ -92,4 +92,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+
+_CHAT_SQL = r"""
+with said as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+escaped as (select *, length(replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h')) as body, length(replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h'), ':', '\c')) as head from said)
+select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(4 + head + 2 + body + 8) as bigint) as formatted_chars
+from escaped group by conv_id"""
+
+_REPEATS_SQL = rf"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as w from documents),
+lists as (select doc_id, list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i+19], ' ')) as g from d where len(w) >= 20),
+wins as (select doc_id, unnest(g) as g, unnest(range(1, len(g) + 1)) as s from lists),
+marked as (select doc_id, s, row_number() over (partition by g order by doc_id, s) as nth from wins),
+gone as (select distinct doc_id, unnest(range(s, s + 20)) as p from marked where nth > 1),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select doc_id, string_agg(word, ' ' order by p) as t, count(*) as n from words anti join gone using (doc_id, p) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)"""
+
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed value of base32
+_BASE32 = " || ".join(f"substr('{_ALPHABET}', cast((('0x' || substr(h, {5 * i + 1}, 5))::bigint >> {shift}) & 31 as integer) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+
+_WARC_SQL = f"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages), f as (select *, min(page_id) over (partition by html) as first from p)
+select page_id, cast(strlen(html) as bigint) as payload_bytes, {_BASE32} as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to from f"""
+
+_MIX_SQL = rf"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size, md5(coalesce(cast(doc_id as varchar), concat('null', coalesce(text, '')))) as key from documents),
+per as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as n from d group by source),
+w as (select *, [3, 1, 2][cast(n % 3 as integer) + 1] as weight, 2 * source_size as cap from per),
+r as (select *, cast(cap as double) / weight as ratio from w),
+lv as (select *, (cast(1.5 as double) * cast(sum(source_size) over () as bigint) - cast(coalesce(sum(cap) over (order by ratio, n rows between unbounded preceding and 1 preceding), 0) as bigint))
+  / cast(sum(weight) over (order by ratio, n rows between current row and unbounded following) as bigint) as level from r),
+goal as (select source, source_size, coalesce(least(cast(cap as double), (select arg_min(level, (ratio, n)) from lv where level * weight <= cap) * weight), cast(cap as double)) as target from lv),
+o as (select d.*, g.source_size, g.target, coalesce(sum(size) over (partition by d.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before from d join goal g on d.source is not distinct from g.source)
+select doc_id, size, source_size, target, cast(case when source_size = 0 then 0 else floor(floor(target) / source_size) * size + greatest(0, least(size, floor(target) - floor(floor(target) / source_size) * source_size - before)) end as bigint) as taken from o"""
+
+ORACLES: dict[str, str] = {
+    "op3_chat_formatting": _CHAT_SQL,
+    "op5_substring_dedup": _REPEATS_SQL,
+    "op7_warc": _WARC_SQL,
+    "op8_mixing_sources": _MIX_SQL,
+}
