@@ -37,6 +37,13 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], ["u", "v"])
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """No node is both a leaf and a centre, and no leaf has two centres."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(edges.select("v", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+    return seen.filter("leaf > 1 or (leaf > 0 and centre > 0)").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (two columns): root is its component's smallest node.
 
@@ -47,8 +54,9 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     a, b = edges.columns
     kind = edges.schema[0].dataType.simpleString()
     now = scratch.keep(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").mapInArrow(_contract, f"u {kind}, v {kind}"), "edges")
-    before = None
     for _ in range(most_rounds):
+        if _is_star_forest(now):
+            break
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -56,13 +64,8 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         step = large.join(low2, "u")
         small = step.select("u", F.col("m").alias("v")).union(step.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         after = scratch.keep(small, "star")
-        # a star forest is the fixed point: no node is both a leaf and a centre
-        state = after.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         scratch.drop(now)
         now = after
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError("components did not settle")
     return scratch.keep(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), "components")

@@ -9,11 +9,12 @@ hashed shingles bound the overlap of two sets from above; pairs that pass are de
 intersecting the sorted hash arrays. Sets already connected are not compared again, so a
 family of near copies costs about one comparison a member and pairs are never listed:
 
-1. each set goes with its array to its most populous tile, in bounded blocks; blocks of
-   one tile are bridged through their largest groups;
-2. tiles that still span several components compare bitmaps between components, block
+1. in each tile, sets that no other set of the tile can reach by size and bitmap go;
+2. each set left goes with its array to its most populous tile, in bounded blocks; blocks
+   of one tile are bridged through their largest groups;
+3. tiles that still span several components compare bitmaps between components, block
    pair by block pair, keeping the sets of which some pair passes;
-3. those sets meet again with their arrays for the exact decision.
+4. those sets meet again with their arrays for the exact decision.
 
 Every pair of sets that share a tile is thus linked, bounded away, decided, or already
 in one component, so components are exact.
@@ -29,21 +30,24 @@ by 64-bit hashes.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm.components import components
+from emberlake.llm.components import components, forest
 from emberlake.llm.kernels import U64, mix, shingle_sets
 from emberlake.llm.scratch import Scratch, shuffle_partitions
 
 SID = 12  # bytes of a set's digest
 CHUNK_BITS = 14  # counters of a row of the sketch: 2**14
 FLUSH = 1 << 21  # postings a task holds before it hands them on
-BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17  # bounds of a block of a tile
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17  # bounds of a block of a tile, where arrays travel
+WIDE_SETS = 4096  # sets of a block of a tile, where bitmaps travel
 POSTING = np.dtype([("h", "<u8"), ("sid", f"S{SID}"), ("n", "<u4")])
 RAW = np.dtype([("h", "<u8"), ("sid", f"V{SID}"), ("n", "<u4")])
 
@@ -143,12 +147,13 @@ def _slim(k: int, lower: bool, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << bits, np.uint32)
-        names = ["doc_id", "n", "sid", "chunk", "counts"]
+        names = ["doc_id", "n", "sid", "bm", "chunk", "counts"]
         for batch in batches:
-            ids, n, sid, held = batch.column(0), [], [], []
+            ids, n, sid, bm, held = batch.column(0), [], [], [], []
             for _, u in shingle_sets(batch.column(1), k, lower):
                 n.append(len(u))
                 sid.append(set_digest(u) if len(u) else None)
+                bm.append(bitmap(u).tobytes() if len(u) else None)
                 held.append((u >> U64(64 - bits)).astype(np.int64))
                 if len(held) == 256:
                     sketch += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
@@ -156,13 +161,13 @@ def _slim(k: int, lower: bool, bits: int):
             if held:
                 sketch += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
             if len(ids):
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(bm, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
         step = 1 << CHUNK_BITS
         some = [c for c in range(len(sketch) // step) if sketch[c * step : (c + 1) * step].any()]
         if some:
             counts = [zlib.compress(sketch[c * step : (c + 1) * step].tobytes(), 1) for c in some]
             m = len(some)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(some, pa.int32()), pa.array(counts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(some, pa.int32()), pa.array(counts, pa.binary())], names)
 
     return run
 
@@ -287,11 +292,12 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g1, g2, m, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             n = np.frombuffer(raw, "<u4", m, m * SID).astype(np.int64)
             block = np.maximum(np.arange(m) // BLOCK_SETS, (np.cumsum(n) - n) // BLOCK_SHINGLES).astype(np.int32)
+            wide = (np.arange(m) // WIDE_SETS).astype(np.int32)
             sids = [raw[i * SID : (i + 1) * SID] for i in range(m)]
             for at in range(0, m, 8192):
                 k = min(8192, m - at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, g1)), pa.array(np.full(k, g2)), pa.array(np.full(k, m)), pa.array(block[at : at + k]), pa.array(sids[at : at + k], pa.binary()), pa.array(n[at : at + k])], ["g1", "g2", "m", "block", "sid", "n"]
+                    [pa.array(np.full(k, g1)), pa.array(np.full(k, g2)), pa.array(np.full(k, m)), pa.array(block[at : at + k]), pa.array(wide[at : at + k]), pa.array(sids[at : at + k], pa.binary()), pa.array(n[at : at + k])], ["g1", "g2", "m", "block", "wide", "sid", "n"]
                 )
 
 
@@ -309,7 +315,7 @@ def _regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _arrays(k: int, lower: bool):
-    """Sorted hash arrays and bitmaps of chosen documents."""
+    """Sorted hash arrays of chosen documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,41 +325,125 @@ def _arrays(k: int, lower: bool):
                 same = [i for i, u in enumerate(sets) if set_digest(u) == part.column(1)[i].as_py()]
                 if len(same) < len(sets):  # another text under the same doc_id
                     part, sets = part.take(pa.array(same, pa.int64())), [sets[i] for i in same]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([u.tobytes() for u in sets], pa.binary()), pa.array([bitmap(u).tobytes() for u in sets], pa.binary())], [*part.schema.names[1:], "arr", "bm"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([u.tobytes() for u in sets], pa.binary())], [*part.schema.names[1:], "arr"])
 
     return run
 
 
-def _edge_table(edges: list[tuple[bytes, bytes]]) -> pa.Table:
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of equal first ``keys`` columns, of rows that come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        new = np.zeros(n, bool)
+        new[0] = True
+        for c in range(keys):
+            col = batch.column(c)
+            new[1:] |= pc.not_equal(col.slice(1), col.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(new).tolist()
+        for a, b in zip(at, [*at[1:], n], strict=True):
+            key = tuple(batch.column(c)[a] for c in range(keys))
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def by_key(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """``fn(table) -> table or None`` over rows of equal keys, many groups to a task, streamed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for t in groups(batches, len(keys)):
+            out = fn(t)
+            if out is not None and out.num_rows:
+                held.append(out)
+                rows += out.num_rows
+                if rows >= 4096:
+                    yield from pa.concat_tables(held).combine_chunks().to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+    rest = [c for c in df.columns if c not in keys]
+    parts = shuffle_partitions(df.sparkSession)
+    return df.select(*keys, *rest).repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _edge_table(edges: list[tuple[bytes, bytes]]) -> pa.Table | None:
+    if not edges:
+        return None
     return pa.table({"a": pa.array([e[0] for e in edges], pa.binary()), "b": pa.array([e[1] for e in edges], pa.binary())})
 
 
+def reachable(t: pa.Table, share: int, comps: list | None = None) -> np.ndarray:
+    """Rows of a tile that some row (of another component, if given) may be linked with, by size and bitmap."""
+    n = t["n"].to_numpy()
+    if len(n) == 2:  # most tiles: the same bound on two integers
+        if comps and comps[0] == comps[1]:
+            return np.zeros(0, np.int64)
+        small, large = sorted(n.tolist())
+        a, b = (x.as_py() for x in t["bm"])
+        width = min(len(a), len(b))
+        x = int.from_bytes(fold(np.frombuffer(a, np.uint8), width).tobytes()) ^ int.from_bytes(fold(np.frombuffer(b, np.uint8), width).tobytes())
+        fit = 100 * small >= share * large and (small + large - x.bit_count()) * (100 + share) >= 2 * share * (small + large)
+        return np.arange(2 if fit else 0)
+    sids = t["sid"].to_pylist()
+    order = sorted(range(len(n)), key=lambda i: (n[i], sids[i]))
+    sizes = n[order].astype(np.int64)
+    maps = prepare(sizes, [t["bm"][i].as_py() for i in order])
+    label = None
+    if comps:
+        names = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+        label = np.array([names[comps[i]] for i in order])
+    alive = np.zeros(len(n), bool)
+    for i in range(1, len(n)):
+        if label is None and alive[i]:
+            continue
+        found = candidates(i, sizes, maps, share)
+        if label is not None:
+            found = found[label[found] != label[i]]
+        if len(found):
+            alive[i] = True
+            alive[found] = True
+    return np.array(order)[alive]
+
+
+def _alive(share: int):
+    """Sets of a tile's block pair that some other set there may be linked with."""
+
+    def run(t: pa.Table) -> pa.Table | None:
+        if t.num_rows < 2:
+            return None
+        kept = reachable(t, share)
+        return t.select(["g1", "g2", "m", "block", "sid", "n"]).take(pa.array(kept)) if len(kept) else None
+
+    return run
+
+
 def _cluster_block(share: int):
     """Edges within a block of a tile, and the array of the block's largest group for bridging."""
 
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    def run(t: pa.Table) -> pa.Table | None:
         sids, arrays = t["sid"].to_pylist(), [np.frombuffer(x.as_py(), U64) for x in t["arr"]]
-        edges = cluster(sids, [len(a) for a in arrays], arrays, list(range(len(sids))), share)
-        out = _edge_table(edges)
-        union: dict = {}
+        edges = cluster(sids, [len(a) for a in arrays], arrays, list(range(len(sids))), share) if len(sids) > 1 else []
+        rows = [(a, b, None) for a, b in edges]
         if t["blocks"][0].as_py() > 1:
-            from emberlake.llm.components import forest
-
-            union = forest(edges)
-        roots = [union.get(s, s) for s in sids]
-        best = max(range(len(sids)), key=lambda i: (roots.count(roots[i]), roots[i] == sids[i], -i)) if union else 0
-        lone = t["blocks"][0].as_py() <= 1
-        rep = pa.table({"sid": pa.array([] if lone else [sids[best]], pa.binary()), "arr": pa.array([] if lone else [arrays[best].tobytes()], pa.binary())})
-        n, m = len(out), len(rep)
-        return pa.table(
-            {
-                "g1": pa.array([key[0].as_py()] * (n + m), pa.int64()),
-                "g2": pa.array([key[1].as_py()] * (n + m), pa.int64()),
-                "a": pa.concat_arrays([out["a"].combine_chunks(), rep["sid"].combine_chunks()]),
-                "b": pa.concat_arrays([out["b"].combine_chunks(), pa.nulls(m, pa.binary())]),
-                "arr": pa.concat_arrays([pa.nulls(n, pa.binary()), rep["arr"].combine_chunks()]),
-            }
-        )
+            roots = forest(edges)
+            count = Counter(roots.get(s, s) for s in sids)
+            best = max(range(len(sids)), key=lambda i: (count[roots.get(sids[i], sids[i])], sids[i]))
+            rows.append((sids[best], None, arrays[best].tobytes()))
+        if not rows:
+            return None
+        g1, g2 = t["g1"][0].as_py(), t["g2"][0].as_py()
+        a, b, arr = zip(*rows, strict=True)
+        return pa.table({"g1": pa.array([g1] * len(rows), pa.int64()), "g2": pa.array([g2] * len(rows), pa.int64()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "arr": pa.array(arr, pa.binary())})
 
     return run
 
@@ -361,7 +451,9 @@ def _cluster_block(share: int):
 def _cluster_group(share: int):
     """Edges between components of the sets of one group, decided exactly."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table) -> pa.Table | None:
+        if t.num_rows < 2:
+            return None
         sids, arrays = t["sid"].to_pylist(), [np.frombuffer(x.as_py(), U64) for x in t["arr"]]
         return _edge_table(cluster(sids, [len(a) for a in arrays], arrays, t["comp"].to_pylist(), share))
 
@@ -371,24 +463,16 @@ def _cluster_group(share: int):
 def _survivors(share: int):
     """Of the sets of a block pair, those that some set of another component cannot be bounded away from."""
 
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        sids, comps, n = t["sid"].to_pylist(), t["comp"].to_pylist(), t["n"].to_pylist()
-        order = sorted(range(len(sids)), key=lambda i: (n[i], sids[i]))
-        sizes = np.array([n[i] for i in order], np.int64)
-        maps = prepare(sizes, [t["bm"][i].as_py() for i in order])
-        label = {c: i for i, c in enumerate(dict.fromkeys(comps))}
-        comp = np.array([label[comps[i]] for i in order])
-        alive = np.zeros(len(order), bool)
-        for i in range(1, len(order)):
-            found = candidates(i, sizes, maps, share)
-            found = found[comp[found] != comp[i]]
-            if len(found):
-                alive[i] = True
-                alive[found] = True
-        kept = [order[i] for i in np.flatnonzero(alive)]
+    def run(t: pa.Table) -> pa.Table | None:
+        if t.num_rows < 2:
+            return None
+        sids = t["sid"].to_pylist()
+        kept = reachable(t, share, t["comp"].to_pylist()).tolist()
+        if not kept:
+            return None
         names = b"".join(sorted(sids[i] for i in kept))
-        digest = set_digest(np.frombuffer(names, np.dtype("<u4")).astype(U64) + (np.arange(len(names) // 4).astype(U64) << U64(32))) if kept else b""
-        return pa.table({"key": pa.array([digest] if kept else [], pa.binary()), "sids": pa.array([[sids[i] for i in kept]] if kept else [], pa.list_(pa.binary()))})
+        digest = set_digest(np.frombuffer(names, np.dtype("<u4")).astype(U64) + (np.arange(len(names) // 4).astype(U64) << U64(32)))
+        return pa.table({"key": pa.array([digest], pa.binary()), "sids": pa.array([[sids[i] for i in kept]], pa.list_(pa.binary()))})
 
     return run
 
@@ -408,47 +492,57 @@ def link_components(docs: DataFrame, k: int = 5, share: int = 80, lower: bool =
     scratch = Scratch(spark, "ngram")
     parts = shuffle_partitions(spark)
     buckets = parts * 8
-    first = scratch.keep(docs.mapInArrow(_slim(k, lower, sketch_bits), "doc_id long, n long, sid binary, chunk int, counts binary"), "slim")
+    first = scratch.keep(docs.mapInArrow(_slim(k, lower, sketch_bits), "doc_id long, n long, sid binary, bm binary, chunk int, counts binary"), "slim")
     slim = first.filter("chunk is null").select("doc_id", "n", "sid")
     mean = (slim.agg(F.sum("n")).first()[0] or 0) / (1 << sketch_bits)
     heavy = heavy_counters(first.filter("chunk is not null").select("chunk", "counts"), sketch_bits, max(frequent, mean + 12 * mean**0.5))
     shared = spark.sparkContext.broadcast(heavy.tobytes())  # one bit a counter: a fixed size
-    sets = slim.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"))
+    sets = scratch.keep(first.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("bm").alias("bm")), "sets")
 
     posts = docs.select("text").mapInArrow(_postings(k, lower, share, sketch_bits, shared, buckets), "bucket int, posts binary")
-    tiles = posts.repartition(parts, "bucket").mapInArrow(_tiles(share), "g1 long, g2 long, m long, members binary")
-    tiles = scratch.keep(tiles.dropDuplicates(["g1", "g2"]), "tiles")
-    member_schema = "g1 long, g2 long, m long, block int, sid binary, n long"
+    tiles = posts.repartition(parts, "bucket").mapInArrow(_tiles(share), "g1 long, g2 long, m long, members binary").dropDuplicates(["g1", "g2"])
+    member_schema = "g1 long, g2 long, m long, block int, wide int, sid binary, n long"
     members = tiles.mapInArrow(_regroup, member_schema)
-    home = members.groupBy("sid").agg(F.max(F.struct("m", "g1", "g2", "block")).alias("home"))
+
+    # 1. sets with company
+    def block_pairs(df: DataFrame) -> DataFrame:
+        """A row for every pair of wide blocks of its tile that a set's block is in (one for most tiles)."""
+        last = F.floor((F.col("m") - 1) / WIDE_SETS).cast("int")
+        df = df.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        return df.withColumn("i", F.least("wide", "other")).withColumn("j", F.greatest("wide", "other")).drop("other")
+
+    offered = block_pairs(members).join(sets.select("sid", "bm"), "sid").select("g1", "g2", "i", "j", "m", "block", "sid", "n", "bm")
+    alive = by_key(offered, ["g1", "g2", "i", "j"], _alive(share), "g1 long, g2 long, m long, block int, sid binary, n long")
+    alive = scratch.keep(alive.dropDuplicates(["g1", "g2", "sid"]), "alive")
+    home = alive.groupBy("sid").agg(F.max(F.struct("m", "g1", "g2", "block")).alias("home"))
     chosen = sets.join(home, "sid").select(F.col("rep").alias("doc_id"), "sid", "home.g1", "home.g2", "home.block")
     columns = docs.join(chosen, "doc_id").select("text", "sid", "g1", "g2", "block")
-    arrays = scratch.keep(columns.mapInArrow(_arrays(k, lower), "sid binary, g1 long, g2 long, block int, arr binary, bm binary"), "arrays")
+    arrays = scratch.keep(columns.mapInArrow(_arrays(k, lower), "sid binary, g1 long, g2 long, block int, arr binary"), "arrays")
 
-    # 1. each set in its most populous tile
+    # 2. each set in its most populous tile
     blocks = arrays.groupBy("g1", "g2").agg(F.count_distinct("block").alias("blocks"))
     at_home = arrays.select("g1", "g2", "block", "sid", "arr").join(blocks, ["g1", "g2"])
-    near = scratch.keep(at_home.groupBy("g1", "g2", "block").applyInArrow(_cluster_block(share), "g1 long, g2 long, a binary, b binary, arr binary"), "near")
+    near = scratch.keep(by_key(at_home, ["g1", "g2", "block"], _cluster_block(share), "g1 long, g2 long, a binary, b binary, arr binary"), "near")
     bridges = near.filter("b is null").select("g1", "g2", F.col("a").alias("sid"), "arr", F.col("a").alias("comp"))
-    edges = near.filter("b is not null").select("a", "b").union(bridges.groupBy("g1", "g2").applyInArrow(_cluster_group(share), "a binary, b binary"))
-    edges = scratch.keep(edges, "edges")
+    edges = scratch.keep(near.filter("b is not null").select("a", "b").union(by_key(bridges, ["g1", "g2"], _cluster_group(share), "a binary, b binary")), "edges")
     comps = components(edges, scratch)
 
-    # 2. bitmaps between components
-    placed = members.join(comps, members.sid == comps.node, "left").select("g1", "g2", "block", "sid", "n", F.coalesce("root", "sid").alias("comp"))
+    # 3. bitmaps between components
+    placed = alive.join(comps, alive.sid == comps.node, "left").select("g1", "g2", "m", "block", "sid", "n", F.coalesce("root", "sid").alias("comp"))
     placed = scratch.keep(placed, "placed")
     mixed = placed.groupBy("g1", "g2").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max("block").alias("last")).filter("c1 <> c2").select("g1", "g2", "last")
-    open_tiles = placed.join(mixed, ["g1", "g2"]).join(arrays.select("sid", "bm"), "sid")
+    open_tiles = placed.join(mixed, ["g1", "g2"]).join(sets.select("sid", "bm"), "sid")
     pairs = open_tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     pairs = pairs.select("g1", "g2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "n", "comp", "bm")
-    alive = pairs.groupBy("g1", "g2", "i", "j").applyInArrow(_survivors(share), "key binary, sids array<binary>")
-
-    # 3. exact decisions between them
-    alive = scratch.keep(alive.dropDuplicates(["key"]), "alive")
-    last = alive.select("key", F.explode("sids").alias("sid")).join(arrays.select("sid", "arr"), "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left")
-    more = last.select("key", "sid", "arr", F.coalesce("root", "sid").alias("comp")).groupBy("key").applyInArrow(_cluster_group(share), "a binary, b binary")
-    final = components(edges.union(more), scratch)
-    scratch.drop(arrays, placed, near, tiles)
+    open_ = scratch.keep(by_key(pairs, ["g1", "g2", "i", "j"], _survivors(share), "key binary, sids array<binary>").dropDuplicates(["key"]), "open")
+
+    # 4. exact decisions between them
+    final = comps
+    if not open_.isEmpty():
+        last = open_.select("key", F.explode("sids").alias("sid")).join(arrays.select("sid", "arr"), "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left")
+        last = last.select("key", "sid", "arr", F.coalesce("root", "sid").alias("comp"))
+        final = components(edges.union(by_key(last, ["key"], _cluster_group(share), "a binary, b binary")), scratch)
+    scratch.drop(arrays, placed, near, alive)
 
     named = final.join(sets, final.node == sets.sid).select("sid", "root", "rep")
     label = named.groupBy("root").agg(F.min("rep").alias("component_id"))
