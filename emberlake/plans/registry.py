@@ -598,6 +598,58 @@ def exemplar_carriers(spark, d):
     return metrics.carriers(p, e)
 
 
+@register(
+    "m4_retained",
+    f"""with b as (select *, cast(floor(timestamp / {WEEK}) as bigint) as w from d_gauge),
+e as (select arg_min(id, (timestamp, id)) as a, arg_max(id, (timestamp, id)) as b, arg_min(id, (value, id)) as c, arg_max(id, (value, id)) as d from b group by series_id, w) select distinct unnest([a, b, c, d]) as id from e""",
+    "d_gauge",
+)
+def m4_retained(spark, d):
+    return metrics.retained(metrics.bucketed(derived(spark, d, "d_gauge"), WEEK))
+
+
+@register(
+    "representative_ingest",
+    """with p as (select *, concat(stream_id, '/', cast(cast(id as bigint) % 3 as string)) as metric_ingest_id from d_gauge), l as (select stream_id, metric_ingest_id, max(timestamp) as latest from p group by 1, 2)
+select stream_id, arg_max(metric_ingest_id, (latest, metric_ingest_id)) as ingest_id, concat('about ', arg_max(metric_ingest_id, (latest, metric_ingest_id))) as description from l group by 1""",
+    "d_gauge",
+)
+def representative_ingest(spark, d):
+    p = derived(spark, d, "d_gauge").withColumn("metric_ingest_id", F.concat_ws("/", "stream_id", (F.col("id").cast("long") % 3).cast("string")))
+    ingests = p.select(F.col("metric_ingest_id").alias("id"), "stream_id", F.concat(F.lit("about "), "metric_ingest_id").alias("description")).distinct()
+    return metrics.representative_ingest(ingests, p)
+
+
+@register("series_labels", "select 'event_type' as key, count(distinct event_type) as \"values\", count(distinct event_type || ':' || user_id) as series from events union all select 'user', count(distinct user_id), count(distinct event_type || ':' || user_id) from events")
+def series_labels(spark, d):
+    """Keys that tell series apart; one that all share with one value is left out."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("series_id", F.concat_ws(":", "event_type", "user_id"))
+    pairs = F.explode(F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"), F.lit("host"), F.lit("one")))
+    return metrics.distinguishing(e.select("series_id", pairs.alias("key", "value")).distinct())
+
+
+@register(
+    "exphist_cross_series",
+    f"""with cells as (select cast(floor(day / 7) as bigint) * {WEEK} as bucket_start, scale, idx, c from d_exp_cells), t as (select *, min(scale) over (partition by bucket_start) as ts from cells)
+select bucket_start, cast(ts as integer) as scale, idx >> cast(scale - ts as integer) as idx, cast(sum(c) as bigint) as c from t where idx is not null and (idx >> cast(scale - ts as integer)) > cast(floor(log2(0.05) * power(2, ts)) as bigint) - 1 group by 1, 2, 3""",
+    "d_exp_cells",
+)
+def exphist_cross_series(spark, d):
+    m = metrics.cross_series_exponential(metrics.merge_exponential(metrics.bucketed(fx.exponential_points(spark, d), WEEK)))
+    cells = m.select("bucket_start", "scale", "positive_bucket_offset", F.posexplode("positive_bucket_counts").alias("p", "c"))
+    return cells.filter("c > 0").select("bucket_start", "scale", (F.col("positive_bucket_offset") + F.col("p")).alias("idx"), "c")
+
+
+@register(
+    "metric_activity",
+    f"""with {_DELTA} select series_id, cast(floor(timestamp / {WEEK}) as bigint) * {WEEK} as bucket_start, round(sum(delta), 4) as activity, count(*) filter (where is_reset) as resets from dl group by 1, 2""",
+    "d_counter",
+)
+def metric_activity(spark, d):
+    p = metrics.bucketed(metrics.deltas(derived(spark, d, "d_counter")), WEEK)
+    return p.groupBy("series_id", "bucket_start").agg(F.round(F.sum("delta"), 4).alias("activity"), F.count_if("is_reset").alias("resets"))
+
+
 # ---- mutations and retention -------------------------------------------------------
 
 
@@ -610,8 +662,8 @@ def delete_trace(spark, d):
 
 @register("retention_cutoff", "select cast(round(quantile_cont(cast(start_time as double), 0.1)) as bigint) // 1000000 as cutoff_ms, (select cast(round(quantile_cont(cast(timestamp as double), 0.1)) as bigint) // 1000000 from d_gauge) as points_ms from d_spans", "d_spans", "d_gauge")
 def retention_cutoff(spark, d):
-    a = retention.cutoff(derived(spark, d, "d_spans"), F.col("start_time"))
-    b = retention.cutoff(derived(spark, d, "d_gauge"), F.col("timestamp"))
+    a = retention.cutoff(derived(spark, d, "d_spans"), F.col("start_time"), exact=True)
+    b = retention.cutoff(derived(spark, d, "d_gauge"), F.col("timestamp"), exact=True)
     return spark.range(1).select(F.lit(a // 1000000).alias("cutoff_ms"), F.lit(b // 1000000).alias("points_ms"))
 
 
