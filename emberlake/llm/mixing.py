@@ -73,7 +73,7 @@ def demand(x: Column, knots: Sequence[tuple[float, float]]) -> Column:
         left = x * total - done
         slope = (w1 - w0) / (t1 - t0)
         # left = w0 * d + slope * d * d / 2, solved for d in a form that is stable for small slopes
-        d = 2 * left / (w0 + F.sqrt(F.greatest(F.lit(w0 * w0) + 2 * slope * left, F.lit(0.0))))
+        d = F.try_divide(2 * left, w0 + F.sqrt(F.greatest(F.lit(w0 * w0) + 2 * slope * left, F.lit(0.0))))
         pieces.append(((done + area) / total, F.lit(float(t0)) + F.coalesce(d, F.lit(0.0))))
         done += area
     for share, at in reversed(pieces):
