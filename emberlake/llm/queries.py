@@ -133,7 +133,17 @@ goal as (select source, source_size, coalesce(least(cast(cap as double), (select
 o as (select d.*, g.source_size, g.target, coalesce(sum(size) over (partition by d.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before from d join goal g on d.source is not distinct from g.source)
 select doc_id, size, source_size, target, cast(case when source_size = 0 then 0 else floor(floor(target) / source_size) * size + greatest(0, least(size, floor(target) - floor(floor(target) / source_size) * source_size - before)) end as bigint) as taken from o"""
 
+_JOIN_SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w from documents),
+s as (select doc_id, case when len(w) >= 4 then list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as g from d),
+flat as (select doc_id, len(g) as n, unnest(g) as g from s),
+links as (select a.doc_id as x, b.doc_id as y from flat a join flat b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2 having 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+sym as (select x, y from links union all select y, x from links),
+reach as (select doc_id, doc_id as root from s union select sym.y, reach.root from reach join sym on sym.x = reach.doc_id)
+select s.doc_id, cast(len(g) as bigint) as n_shingles, min(root) as component_id from s join reach using (doc_id) group by all"""
+
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": _JOIN_SQL,
     "op3_chat_formatting": _CHAT_SQL,
     "op5_substring_dedup": _REPEATS_SQL,
     "op7_warc": _WARC_SQL,
