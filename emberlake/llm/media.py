@@ -82,7 +82,6 @@ def _read_pts(b: bytes) -> int:
 
 def _packets(pes: bytes, counter: int, key: bool) -> tuple[bytes, int]:
     """A PES packet as transport packets; the first may carry a random-access mark, the last is stuffed."""
-    out = np.full(0, 0, np.uint8)
     head_room = 2 if key else 0
     first = 184 - head_room
     rest = max(0, len(pes) - first)
@@ -111,7 +110,6 @@ def _packets(pes: bytes, counter: int, key: bool) -> tuple[bytes, int]:
         if stuff > 1:
             grid[row, 5] = 0x40 if key and row == 0 else 0
         grid[row, 4 + stuff :] = tail
-    del out
     return grid.tobytes(), (counter + n) % 16
 
 
