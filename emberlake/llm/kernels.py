@@ -7,7 +7,9 @@ document is a block of its own), held as one byte buffer with offsets. White spa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,35 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark) -> None:
+    """Texts are long: hand them to Python in Arrow batches of at most BATCH_BYTES (a session setting, lowered only)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = (spark.conf.get(name) or "").rstrip("b")
+    if not digits.isdigit() or not 0 < int(digits) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def lean(run: Callable) -> Callable:
+    """A batch function that gives freed memory back to the system at its end: Python workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass
+
+    return wrapped
+
 
 _powers: dict[str, np.ndarray] = {}
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlake.llm.components import components, forest
-from emberlake.llm.kernels import U64, mix, shingle_sets
+from emberlake.llm.kernels import U64, lean, mix, shingle_sets, small_batches
 from emberlake.llm.scratch import Scratch, shuffle_partitions
 
 SID = 12  # bytes of a set's digest
@@ -373,7 +373,7 @@ def by_key(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
 
     rest = [c for c in df.columns if c not in keys]
     parts = shuffle_partitions(df.sparkSession)
-    return df.select(*keys, *rest).repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.select(*keys, *rest).repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(lean(run), schema)
 
 
 def _edge_table(edges: list[tuple[bytes, bytes]]) -> pa.Table | None:
@@ -486,63 +486,78 @@ def link_components(docs: DataFrame, k: int = 5, share: int = 80, lower: bool =
     results.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     if sketch_bits is None:
         sketch_bits = max(18, min(24, (4 * docs.count()).bit_length()))
     scratch = Scratch(spark, "ngram")
     parts = shuffle_partitions(spark)
     buckets = parts * 8
-    first = scratch.keep(docs.mapInArrow(_slim(k, lower, sketch_bits), "doc_id long, n long, sid binary, bm binary, chunk int, counts binary"), "slim")
+    first = scratch.keep(docs.mapInArrow(lean(_slim(k, lower, sketch_bits)), "doc_id long, n long, sid binary, bm binary, chunk int, counts binary"), "slim")
     slim = first.filter("chunk is null").select("doc_id", "n", "sid")
     mean = (slim.agg(F.sum("n")).first()[0] or 0) / (1 << sketch_bits)
     heavy = heavy_counters(first.filter("chunk is not null").select("chunk", "counts"), sketch_bits, max(frequent, mean + 12 * mean**0.5))
     shared = spark.sparkContext.broadcast(heavy.tobytes())  # one bit a counter: a fixed size
     sets = scratch.keep(first.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("bm").alias("bm")), "sets")
 
-    posts = docs.select("text").mapInArrow(_postings(k, lower, share, sketch_bits, shared, buckets), "bucket int, posts binary")
-    tiles = posts.repartition(parts, "bucket").mapInArrow(_tiles(share), "g1 long, g2 long, m long, members binary").dropDuplicates(["g1", "g2"])
-    member_schema = "g1 long, g2 long, m long, block int, wide int, sid binary, n long"
-    members = tiles.mapInArrow(_regroup, member_schema)
-
-    # 1. sets with company
-    def block_pairs(df: DataFrame) -> DataFrame:
-        """A row for every pair of wide blocks of its tile that a set's block is in (one for most tiles)."""
+    # each step is a function, so that plans it no longer needs (and their shuffle files) can go
+    def in_company() -> DataFrame:
+        """1. Sets of a tile that some other set there may be linked with."""
+        posts = docs.select("text").mapInArrow(lean(_postings(k, lower, share, sketch_bits, shared, buckets)), "bucket int, posts binary")
+        tiles = posts.repartition(parts, "bucket").mapInArrow(lean(_tiles(share)), "g1 long, g2 long, m long, members binary").dropDuplicates(["g1", "g2"])
+        members = tiles.mapInArrow(_regroup, "g1 long, g2 long, m long, block int, wide int, sid binary, n long")
+        # a row for every pair of wide blocks of its tile that a set's block is in: one for most tiles
         last = F.floor((F.col("m") - 1) / WIDE_SETS).cast("int")
-        df = df.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-        return df.withColumn("i", F.least("wide", "other")).withColumn("j", F.greatest("wide", "other")).drop("other")
-
-    offered = block_pairs(members).join(sets.select("sid", "bm"), "sid").select("g1", "g2", "i", "j", "m", "block", "sid", "n", "bm")
-    alive = by_key(offered, ["g1", "g2", "i", "j"], _alive(share), "g1 long, g2 long, m long, block int, sid binary, n long")
-    alive = scratch.keep(alive.dropDuplicates(["g1", "g2", "sid"]), "alive")
-    home = alive.groupBy("sid").agg(F.max(F.struct("m", "g1", "g2", "block")).alias("home"))
-    chosen = sets.join(home, "sid").select(F.col("rep").alias("doc_id"), "sid", "home.g1", "home.g2", "home.block")
-    columns = docs.join(chosen, "doc_id").select("text", "sid", "g1", "g2", "block")
-    arrays = scratch.keep(columns.mapInArrow(_arrays(k, lower), "sid binary, g1 long, g2 long, block int, arr binary"), "arrays")
-
-    # 2. each set in its most populous tile
-    blocks = arrays.groupBy("g1", "g2").agg(F.count_distinct("block").alias("blocks"))
-    at_home = arrays.select("g1", "g2", "block", "sid", "arr").join(blocks, ["g1", "g2"])
-    near = scratch.keep(by_key(at_home, ["g1", "g2", "block"], _cluster_block(share), "g1 long, g2 long, a binary, b binary, arr binary"), "near")
-    bridges = near.filter("b is null").select("g1", "g2", F.col("a").alias("sid"), "arr", F.col("a").alias("comp"))
-    edges = scratch.keep(near.filter("b is not null").select("a", "b").union(by_key(bridges, ["g1", "g2"], _cluster_group(share), "a binary, b binary")), "edges")
+        members = members.withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumn("i", F.least("wide", "other")).withColumn("j", F.greatest("wide", "other"))
+        offered = members.join(sets.select("sid", "bm"), "sid").select("g1", "g2", "i", "j", "m", "block", "sid", "n", "bm")
+        alive = by_key(offered, ["g1", "g2", "i", "j"], _alive(share), "g1 long, g2 long, m long, block int, sid binary, n long")
+        return scratch.keep(alive.dropDuplicates(["g1", "g2", "sid"]), "alive")
+
+    def at_home() -> DataFrame:
+        """Arrays of the sets that are left, with each one's most populous tile."""
+        home = alive.groupBy("sid").agg(F.max(F.struct("m", "g1", "g2", "block")).alias("home"))
+        chosen = sets.join(home, "sid").select(F.col("rep").alias("doc_id"), "sid", "home.g1", "home.g2", "home.block")
+        texts = docs.join(chosen, "doc_id").select("text", "sid", "g1", "g2", "block")
+        return scratch.keep(texts.mapInArrow(lean(_arrays(k, lower)), "sid binary, g1 long, g2 long, block int, arr binary"), "arrays")
+
+    def near_edges() -> DataFrame:
+        """2. Links within the blocks of home tiles, and bridges between blocks."""
+        blocks = arrays.groupBy("g1", "g2").agg(F.count_distinct("block").alias("blocks"))
+        rows = arrays.select("g1", "g2", "block", "sid", "arr").join(blocks, ["g1", "g2"])
+        near = scratch.keep(by_key(rows, ["g1", "g2", "block"], _cluster_block(share), "g1 long, g2 long, a binary, b binary, arr binary"), "near")
+        bridges = near.filter("b is null").select("g1", "g2", F.col("a").alias("sid"), "arr", F.col("a").alias("comp"))
+        out = scratch.keep(near.filter("b is not null").select("a", "b").union(by_key(bridges, ["g1", "g2"], _cluster_group(share), "a binary, b binary")), "edges")
+        scratch.drop(near)
+        return out
+
+    def open_groups() -> DataFrame:
+        """3. Sets of tiles with several components that bitmaps cannot keep apart."""
+        placed = alive.join(comps, alive.sid == comps.node, "left").select("g1", "g2", "block", "sid", "n", F.coalesce("root", "sid").alias("comp"))
+        placed = scratch.keep(placed, "placed")
+        mixed = placed.groupBy("g1", "g2").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max("block").alias("last")).filter("c1 <> c2").select("g1", "g2", "last")
+        open_tiles = placed.join(mixed, ["g1", "g2"]).join(sets.select("sid", "bm"), "sid")
+        pairs = open_tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        pairs = pairs.select("g1", "g2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "n", "comp", "bm")
+        out = scratch.keep(by_key(pairs, ["g1", "g2", "i", "j"], _survivors(share), "key binary, sids array<binary>").dropDuplicates(["key"]), "open")
+        scratch.drop(placed)
+        return out
+
+    def far_edges() -> DataFrame:
+        """4. Exact decisions between components."""
+        rows = open_.select("key", F.explode("sids").alias("sid")).join(arrays.select("sid", "arr"), "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left")
+        return by_key(rows.select("key", "sid", "arr", F.coalesce("root", "sid").alias("comp")), ["key"], _cluster_group(share), "a binary, b binary")
+
+    alive = in_company()
+    scratch.settle()
+    arrays = at_home()
+    scratch.settle()
+    edges = near_edges()
+    scratch.settle()
     comps = components(edges, scratch)
-
-    # 3. bitmaps between components
-    placed = alive.join(comps, alive.sid == comps.node, "left").select("g1", "g2", "m", "block", "sid", "n", F.coalesce("root", "sid").alias("comp"))
-    placed = scratch.keep(placed, "placed")
-    mixed = placed.groupBy("g1", "g2").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max("block").alias("last")).filter("c1 <> c2").select("g1", "g2", "last")
-    open_tiles = placed.join(mixed, ["g1", "g2"]).join(sets.select("sid", "bm"), "sid")
-    pairs = open_tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    pairs = pairs.select("g1", "g2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "n", "comp", "bm")
-    open_ = scratch.keep(by_key(pairs, ["g1", "g2", "i", "j"], _survivors(share), "key binary, sids array<binary>").dropDuplicates(["key"]), "open")
-
-    # 4. exact decisions between them
-    final = comps
-    if not open_.isEmpty():
-        last = open_.select("key", F.explode("sids").alias("sid")).join(arrays.select("sid", "arr"), "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left")
-        last = last.select("key", "sid", "arr", F.coalesce("root", "sid").alias("comp"))
-        final = components(edges.union(by_key(last, ["key"], _cluster_group(share), "a binary, b binary")), scratch)
-    scratch.drop(arrays, placed, near, alive)
+    open_ = open_groups()
+    final = comps if open_.isEmpty() else components(edges.union(far_edges()), scratch)
+    scratch.drop(arrays, alive)
+    scratch.settle()
 
     named = final.join(sets, final.node == sets.sid).select("sid", "root", "rep")
     label = named.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -21,6 +21,8 @@ result. Reruns give the same pieces and about the same sequences.
 
 from __future__ import annotations
 
+import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -30,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.kernels import U64, mix, powers
+from emberlake.llm.kernels import U64, lean, mix, powers, small_batches
 from emberlake.llm.scratch import Scratch, shuffle_partitions
 
 CAPACITY, END_ID = 1024, 2
 FAN_IN = 16  # partitions whose left-overs meet in the next round
-MOST_CACHED = 1 << 20  # distinct pieces of text remembered by a worker
+MOST_CACHED = 1 << 19  # distinct pieces of text remembered by a worker
 
 # ---- tokens ------------------------------------------------------------------------
 
@@ -60,9 +62,7 @@ class Encoder:
     """Token ids of many texts."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.classes = _classes()
         self.coder = self._pieces()
         self.reset()
@@ -74,12 +74,21 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {chr(b): b for b in shown}
         chars |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        ranks = {bytes(chars[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in special}
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = {t["content"] for t in spec["added_tokens"]}
+        ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         coder = tiktoken.Encoding("own", pat_str=r"[^\x00]+|\x00", mergeable_ranks=ranks, special_tokens={})
         self.between = ranks[b"\0"]
         return coder
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The library itself, for texts that the fast rules leave to it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def reset(self) -> None:
         self.known = np.zeros(0, U64)  # sorted hashes of pieces of text
         self.ref = np.zeros(0, np.int64)  # their places in the lists below
@@ -200,6 +209,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """A row for each piece: all of a document that fits, else pieces of ``capacity`` ids of which the first may be shorter."""
+    small_batches(docs.sparkSession)
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +234,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 else:
                     yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), PIECES + (", ids binary" if with_ids else ""))
 
 
 # ---- bins --------------------------------------------------------------------------

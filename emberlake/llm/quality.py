@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.kernels import COEF, LOWER, U64, blocks, mix, span_hashes, word_spans
+from emberlake.llm.kernels import COEF, LOWER, U64, blocks, lean, mix, small_batches, span_hashes, word_spans
 
 BITS = 18
 MAX_TRAIN = 6000  # labelled rows that are learned from, at most
@@ -146,6 +146,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Learn ``labels.quality`` from at most ``max_train`` labelled rows that are not held out; one task trains."""
+    small_batches(docs.sparkSession)
     known = labels.filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     # ids of rows that exist are few enough to broadcast: max_train rows of two numbers
@@ -161,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
         model = train([texts[i][0] for i in order], [texts[i][1] for i in order])
         yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.weights.tobytes()], pa.binary())], ["bias", "weights"])
 
-    got = rows.coalesce(1).mapInArrow(run, "bias double, weights binary").first()
+    got = rows.coalesce(1).mapInArrow(lean(run), "bias double, weights binary").first()
     if got is None:
         return train([], [])
     return Model(got.bias, np.frombuffer(got.weights, np.float32))
@@ -177,7 +178,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             s = m.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double, predicted int")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
@@ -191,4 +192,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
         for batch in batches:
             yield batch.filter(pa.array(m.scores(batch.column(at)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.llm.kernels import lean, small_batches
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -146,6 +148,7 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_named long, b
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """A row per document with its counts and spans."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,11 +161,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             kinds = [*[pa.int64()] * 4, pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), SCHEMA)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with secret values replaced in ``text``; other columns as they are, ``n_chars`` made to agree."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     at = names.index("text")
 
@@ -173,5 +177,5 @@ def redacted(docs: DataFrame) -> DataFrame:
             cols[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in names else out
