@@ -5,7 +5,8 @@ put in a global order, those that a count sketch finds frequent last, and a set
 under its prefix in that order, which is long enough that two linked sets must share a
 posted shingle. Postings of one shingle, sorted by set size and cut where neighbouring
 sizes are too far apart to link, are *size-banded tiles*. Within tiles, parity bitmaps of
-hashed shingles bound the overlap of two sets from above; pairs that pass are decided by
+hashed shingles bound the overlap of two sets from above (as, before that, do the places
+of a shared shingle in both orders); pairs that pass are decided by
 intersecting the sorted hash arrays. Sets already connected are not compared again, so a
 family of near copies costs about one comparison a member and pairs are never listed:
 
@@ -48,8 +49,8 @@ CHUNK_BITS = 14  # counters of a row of the sketch: 2**14
 FLUSH = 1 << 21  # postings a task holds before it hands them on
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17  # bounds of a block of a tile, where arrays travel
 WIDE_SETS = 4096  # sets of a block of a tile, where bitmaps travel
-POSTING = np.dtype([("h", "<u8"), ("sid", f"S{SID}"), ("n", "<u4")])
-RAW = np.dtype([("h", "<u8"), ("sid", f"V{SID}"), ("n", "<u4")])
+RAW = np.dtype([("h", "<u8"), ("sid", f"V{SID}"), ("n", "<u4"), ("at", "<u2")])  # at: place in the set's order, in 65536ths of n, rounded down
+NEAR = 48  # places of a tile up to which pairs are looked at one by one
 
 
 def set_digest(u: np.ndarray) -> bytes:
@@ -212,6 +213,8 @@ def _postings(k: int, lower: bool, share: int, bits: int, heavy, buckets: int):
             out["h"] = np.concatenate(hs)
             out["sid"] = np.repeat(np.frombuffer(b"".join(sids), f"V{SID}"), counts)
             out["n"] = np.repeat(np.array(ns, np.uint32), counts)
+            starts = np.repeat(np.cumsum(counts) - counts, counts)
+            out["at"] = (np.arange(held) - starts) * 65536 // out["n"].astype(np.int64)
             bucket = (mix(out["h"]) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             out, bucket = out[order], bucket[order]
@@ -250,6 +253,28 @@ def _postings(k: int, lower: bool, share: int, bits: int, heavy, buckets: int):
     return run
 
 
+def with_partner(tile: np.ndarray, n: np.ndarray, least: np.ndarray, share: int) -> np.ndarray:
+    """Rows of tiles (sizes n rising within each) of which some other row of the tile may be a link's first common shingle.
+
+    Before the first common shingle nothing is shared, so the overlap is at most what
+    follows its place in either set. Tiles of more than NEAR rows are left whole.
+    """
+    size = np.bincount(tile, minlength=int(tile[-1]) + 1 if len(tile) else 0)
+    ok = size[tile] > NEAR
+    for lag in range(1, NEAR):
+        a = np.flatnonzero((tile[lag:] == tile[:-lag]) & ~ok[lag:] | (tile[lag:] == tile[:-lag]) & ~ok[:-lag]) if lag < len(tile) else np.zeros(0, np.int64)
+        if not len(a):
+            if lag >= len(tile) or not (tile[lag:] == tile[:-lag]).any():
+                break
+            continue
+        b = a + lag
+        need = -(-share * (n[a] + n[b]) // (100 + share))
+        fit = (np.minimum(n[a] - least[a], n[b] - least[b]) >= need) & (100 * n[a] >= share * n[b])
+        ok[a[fit]] = True
+        ok[b[fit]] = True
+    return ok
+
+
 def _tiles(share: int):
     """Size-banded tiles of two sets or more, from all postings of some buckets."""
 
@@ -269,7 +294,11 @@ def _tiles(share: int):
         n = posts["n"].astype(np.int64)
         begin = np.ones(len(posts), bool)
         begin[1:] = (posts["h"][1:] != posts["h"][:-1]) | (100 * n[:-1] < share * n[1:])
-        starts = np.flatnonzero(begin)
+        tile = np.cumsum(begin)
+        least = posts["at"].astype(np.int64) * n >> 16  # no later than the shingle's place in its set's order
+        kept = with_partner(tile, n, least, share)
+        posts, hi, lo, tile = posts[kept], hi[kept], lo[kept], tile[kept]
+        starts = np.flatnonzero(np.diff(tile, prepend=-1))
         m = np.diff([*starts, len(posts)])
         g1 = np.add.reduceat(mix(hi ^ lo), starts) if len(starts) else np.zeros(0, U64)
         g2 = np.add.reduceat(mix(hi + (lo << U64(13)) + U64(99)), starts) if len(starts) else g1
