@@ -69,7 +69,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlake.llm import mixing
 
-    return mixing.laps(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    rows = mixing.in_training_order(mixing.laps(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

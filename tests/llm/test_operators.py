@@ -400,6 +400,34 @@ def test_curriculum(docs):
     assert kept.columns == docs.columns
 
 
+def test_mixing_is_in_training_order(spark):
+    rows = [(i, f"{s}{i} " * 50, "en", s, None) for i, s in enumerate("abc" * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    m = mixing.laps(df)
+    copies = mixing.curriculum(m).collect()
+    place = {(r.source, r.doc_id, r.copy): r.position for r in copies}
+    got = [r.source for p in mixing.mixed_documents(df).rdd.glom().collect() for r in p]
+    assert got == [r.source for r in sorted(copies, key=lambda r: (r.position, r.key, r.copy)) if 2 * r.words >= r.size]
+    # the first source falls from 3 to 1, the second is flat, the third rises from 1 to 3
+    early = {s: sum(r.words for r in copies if r.source == s and r.position < 0.5) / sum(r.words for r in copies if r.source == s) for s in "abc"}
+    assert early["a"] == pytest.approx(0.625, abs=0.02) and early["b"] == pytest.approx(0.5, abs=0.02) and early["c"] == pytest.approx(0.375, abs=0.02)
+    rows = [r for p in mixing.in_training_order(m).rdd.glom().collect() for r in p]
+    at = [2 if r.position is None else r.position for r in rows]
+    assert at == sorted(at) and len(rows) == 600
+    assert all(r.position == place.get((r.source, r.doc_id, 0)) and r.taken == sum(c.words for c in copies if c.doc_id == r.doc_id) for r in rows)
+
+
+def test_mixing_keeps_rows_apart(spark):
+    """Null doc_ids, shared doc_ids and repeats come through with the copies of their own."""
+    rows = [(None, "n " * 40, "en", "a", None)] * 3 + [(1, f"t{i} " * (10 * i + 10), "en", "a", None) for i in range(5)] + [(2, "r " * 30, "en", s, None) for s in ("b", None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = Counter()
+    for r in mixing.curriculum(mixing.laps(df)).collect():
+        want[(r.doc_id, r.source, r.size)] += 2 * r.words >= r.size
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.mixed_documents(df).collect())
+    assert got == +want and any(k[0] is None for k in got)
+
+
 # ---- media -------------------------------------------------------------------------
 
 
