@@ -129,6 +129,15 @@ def search_spans_matched(spark, d):
     return traces.search_spans(spans, F.col("status_code") == "Error").select("trace_id", "span_id", "matched", "offset_ns", "duration_ns")
 
 
+@register(
+    "search_spans_all",
+    """select s.trace_id, s.span_id, coalesce(s.status_code = 'Error', false) as matched, s.start_time - min(s.start_time) over (partition by s.trace_id) as offset_ns, s.end_time - s.start_time as duration_ns from d_spans s""",
+    "d_spans",
+)
+def search_spans_all(spark, d):
+    return traces.search_spans(derived(spark, d, "d_spans"), F.col("status_code") == "Error").select("trace_id", "span_id", "matched", "offset_ns", "duration_ns")
+
+
 @register("error_spans", "select count(*) as n, count(distinct trace_id) as traces from d_spans s where status_code = 'Error' or exists (select 1 from d_events e where e.span_id = s.span_id and e.name = 'exception')", "d_spans", "d_events")
 def error_spans(spark, d):
     bad = traces.error_spans(derived(spark, d, "d_spans"), derived(spark, d, "d_events"))
