@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place."""
-    return packing.pack(packing.pieces(docs, public_tokenizers.path(TOKENIZER)))
+    """Pieces of documents with their token ids, sequence and place."""
+    return packing.pack(packing.pieces(docs, public_tokenizers.path(TOKENIZER), with_ids=True))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -17,6 +17,11 @@ special token, goes through the tokenizer itself.
 Defined results: null and empty texts are the end id alone; repeated rows are packed
 each; a null doc_id is kept; extra columns are ignored; an empty table gives an empty
 result. Reruns give the same pieces and about the same sequences.
+
+The ids themselves travel apart from the rounds: pieces are written with a row number,
+rounds move lengths and digests, and the settled rows are joined to their ids by number.
+Ids are little-endian unsigned 32-bit numbers; the pieces of a sequence, end to end by
+offset, are the training sequence.
 """
 
 from __future__ import annotations
@@ -324,23 +329,32 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Give each piece (columns of `pieces`) a sequence and its offset there."""
+    """Give each piece (columns of `pieces`, with or without ids) a sequence and its offset there."""
     spark = rows.sparkSession
     scratch = Scratch(spark, "packing")
     names = [c.split()[0] for c in PIECES.split(", ")]
-    pool = scratch.keep(rows.select(names), "pieces")
+    has_ids = "ids" in rows.columns
+    whole = scratch.keep(rows.select(F.monotonically_increasing_id().alias("row"), *names, *(["ids"] if has_ids else [])), "pieces", "zstd")
+    names = ["row", *names]
+    pool = whole.select(names)
     parts, level, done = shuffle_partitions(spark), 0, None
     while True:
         deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(parts * 64))
-        got = scratch.keep(pool.repartition(parts, deal).mapInArrow(_pack(capacity, level, parts == 1), PACKED), f"round{level}")
+        got = scratch.keep(pool.repartition(parts, deal).mapInArrow(_pack(capacity, level, parts == 1), "row long, " + PACKED), f"round{level}")
         settled = got.filter("sequence_id is not null")
         done = settled if done is None else done.union(settled)
         if parts == 1:
-            return done
+            return (done.join(whole.select("row", "ids"), "row") if has_ids else done).drop("row")
         pool = got.filter("sequence_id is null").select(names)
         parts, level = -(-parts // FAN_IN), level + 1
 
 
+def digests(packed: DataFrame) -> DataFrame:
+    """What `pack` gives, with length and digest taken from the ids that came through, in place of the ids."""
+    out = packed.withColumn("length", (F.octet_length("ids") / 4).cast("long")).withColumn("ids_crc32", F.crc32("ids"))
+    return out.select(*(c.split()[0] for c in PACKED.split(", ")))
+
+
 def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
     """(sequences used, bound on the sequences any packing needs), from the counts of the lengths (at most ``capacity`` rows)."""
     used = packed.agg(F.count_distinct("sequence_id")).first()[0]

@@ -56,7 +56,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from emberlake.llm import packing
 
-    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    pieces = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    return packing.digests(packing.pack(pieces))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,10 +32,10 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:02d}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
         """Write ``df`` and return it as read back: later stages restart from the files."""
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=codec)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -289,6 +289,29 @@ def test_pieces_and_packing(docs, messy, library, none):
     assert packing.pack(packing.pieces(none, PATH)).count() == 0
 
 
+def test_packed_sequences_hold_their_ids(spark, docs, messy, library, none):
+    """Every document can be read back from the sequences; repeats of a row keep their own ids."""
+    packed = packing.pack(packing.pieces(docs.union(docs.filter("doc_id = 11")), PATH, with_ids=True))
+    rows = packed.collect()
+    got = Counter((r.doc_id, r.piece, r.start, bytes(r.ids)) for r in rows)
+    want = Counter()
+    for i, t, *_ in [*messy, *(m for m in messy if m[0] == 11)]:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        want.update((i, p, a, ids[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    assert got == want
+    sequences: dict = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        held = sequences.setdefault(r.sequence_id, b"")
+        assert len(held) == 4 * r.offset
+        sequences[r.sequence_id] = held + bytes(r.ids)
+    assert max(map(len, sequences.values())) <= 4096
+    short = packing.digests(packed)
+    assert short.columns == [c.split()[0] for c in packing.PACKED.split(", ")] and short.count() == len(rows)
+    assert all(r.length == len(r.ids) // 4 and r.ids_crc32 == zlib.crc32(r.ids) for r in rows)
+    assert packing.pack(packing.pieces(none, PATH, with_ids=True)).count() == 0
+
+
 def test_bounds():
     def exact(sizes, cap):
         best = len(sizes)

@@ -1,6 +1,7 @@
 """Registered queries against their SQL twins, and the pipeline, over the smallest data."""
 
 import os
+import zlib
 
 import duckdb
 import pytest
@@ -41,3 +42,9 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert packed.filter("piece = 0").count() == mixed
     spark.catalog.clearCache()
+
+
+def test_pipeline_gives_token_ids(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(20)
+    rows = corpus_pipeline.pack_sequences(spark, docs, DATA).collect()
+    assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
