@@ -5,8 +5,11 @@ hexadecimal runs). The lexer then reads source and configuration syntax: it pars
 ``name = literal``, ``name: literal``, ``"name" => 'literal'`` and the like into
 name-literal pairs, follows constants through plain references (``a = "x"; db_password =
 a``), and scores each literal by the names it ends up under and by its shape. Literals
-that score enough and are not in a base span are added under kind ``named``; base spans
-always stay.
+that score enough and that no base span touches are added under kind ``named``. Base
+patterns stop at characters that secrets may hold, so the whole value is added under kind
+``wide`` where it reaches beyond its base span: to the closing quote, or to the end of a
+bare value. Base spans always stay. A quoted value with inner spaces counts only under a
+name that is strongly sensitive.
 
 Defined results: null and empty texts have no spans; repeated rows each give a row; a row
 without doc_id is scanned like any other; extra columns are ignored; an empty table gives
@@ -30,7 +33,7 @@ from emberlake.llm.kernels import lean, small_batches
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-KINDS = ("assign", "access", "hex", "named")
+KINDS = ("assign", "access", "hex", "named", "wide")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_VALUE = 6
 
@@ -42,10 +45,13 @@ NAME_WEIGHTS = {
 TRIGGERS = ("pass", "pwd", "secret", "token", "credential", "key", "auth", "bearer")
 DULL = frozenset("true false none null nil undefined default string str int example".split())
 THRESHOLD = 0.55
+STRONG = 0.9  # weight of a name under which a quoted value may hold spaces
 
 ASSIGNMENT = re.compile(
     r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,79})["'`]?[ \t]*(?:=>|:=|==?|:)[ \t]*(?:(?P<quote>["'`])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)|(?P<bare>[^\s,;"'`(){}\[\]<>]+))"""
 )
+VALUE_ENDS = {q: re.compile(rf"(?:\\.|[^\\\n{q}])*(?={q})") for q in "\"'`"}
+BARE = re.compile(r"""[^\s,;"'`(){}\[\]<>]+""")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -63,9 +69,9 @@ def name_weight(name: str) -> float:
     return min(1.0, sum(NAME_WEIGHTS.get(p.lower(), 0.0) for p in PARTS.findall(name)))
 
 
-def value_weight(value: str) -> float:
-    """How much a literal looks like a secret: long enough, varied, not a plain constant."""
-    if len(value) < LEAST_VALUE or value.lower() in DULL or " " in value.strip() or value.isdigit() and len(value) < 8:
+def value_weight(value: str, spaced: bool = False) -> float:
+    """How much a literal looks like a secret: long enough, varied, not a plain constant, without spaces unless ``spaced``."""
+    if len(value) < LEAST_VALUE or value.lower() in DULL or not spaced and " " in value.strip() or value.isdigit() and len(value) < 8:
         return 0.0
     if value.startswith(("${", "{{", "<", "%(", "os.", "env.")):
         return 0.0
@@ -104,18 +110,36 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def whole_value(text: str, start: int) -> tuple[int, int]:
+    """Extent of the value that starts at ``start``: up to its closing quote if a quote that is closed on its line opens it, else a bare run."""
+    ends = VALUE_ENDS.get(text[start - 1 : start])
+    m = (ends and ends.match(text, start)) or BARE.match(text, start)
+    return start, m.end() if m else start
+
+
+def covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether sorted ``spans`` together hold all of start to end."""
+    for s, _, e in spans:
+        if s <= start < e:
+            start = e
+    return start >= end
+
+
 def named_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Literals under sensitive names that no base span touches."""
-    low = text.lower()
-    if not any(t in low for t in TRIGGERS) or not ("=" in text or ":" in text):
-        return []
+    """Literals under sensitive names that no base span touches, and whole values that reach beyond base spans."""
+    wide = {whole_value(text, ASSIGN.match(text, s).start(2)) for s, k, _ in base if k == 0}
     out = []
-    for lit in literals(text):
-        if max(map(name_weight, lit.names)) * value_weight(lit.value) < THRESHOLD:
-            continue
-        if not any(s < lit.end and lit.start < e for s, _, e in base):
-            out.append((lit.start, 3, lit.end))
-    return out
+    low = text.lower()
+    if any(t in low for t in TRIGGERS) and ("=" in text or ":" in text):
+        for lit in literals(text):
+            weight = max(map(name_weight, lit.names))
+            if weight * value_weight(lit.value, weight >= STRONG) < THRESHOLD:
+                continue
+            if any(s < lit.end and lit.start < e for s, _, e in base):
+                wide.add((lit.start, lit.end))
+            else:
+                out.append((lit.start, 3, lit.end))
+    return out + [(s, 4, e) for s, e in wide if not covered(s, e, base)]
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -143,7 +167,7 @@ def redact(text: str, mark: str = "[REDACTED]") -> str:
     return "".join([*out, text[at:]])
 
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_named long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_named long, base_sha256 string, spans string, n_wide long"
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -155,10 +179,10 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             rows = []
             for x in batch.column(1):
                 base, every = scan(x.as_py() or "")
-                n = [sum(k == i for _, k, _ in every) for i in range(4)]
-                rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [*[pa.int64()] * 4, pa.string(), pa.string()]
+                n = [sum(k == i for _, k, _ in every) for i in range(5)]
+                rows.append((*n[:4], hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), n[4]))
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), SCHEMA)

@@ -128,6 +128,26 @@ def test_lexer_adds_spans():
     assert secrets.redact("password = hunter22 ok") == "password = [REDACTED] ok"
 
 
+def test_secrets_go_whole():
+    """Values with characters that the base patterns stop at, and with spaces."""
+    for t, left in [
+        ('password = "Tr0ub4dor&3-horse" ok', 'password = "[REDACTED]" ok'),
+        ('password = "hunter22!"', 'password = "[REDACTED]"'),
+        ("password=hunter22!x, user=bob", "password=[REDACTED], user=bob"),
+        ('password = "correct horse battery staple"', 'password = "[REDACTED]"'),
+        ('db_pwd = "correct horse battery staple"', 'db_pwd = "[REDACTED]"'),
+        ("note: secret: 'abcdefg it\\'s & more' z", "note: secret: '[REDACTED]' z"),
+        ('token = "aaaaaa&b"', 'token = "[REDACTED]"'),
+        ('x_token = "é!deadbeefdeadbeefdeadbeef!"', 'x_token = "[REDACTED]"'),
+        ('password = "open-ended\nnext line"', 'password = "[REDACTED]\nnext line"'),
+        ('title = "a plain sentence of words"', 'title = "a plain sentence of words"'),
+    ]:
+        assert secrets.redact(t) == left
+    base, every = secrets.scan('password = "Tr0ub4dor&3-horse"')
+    assert secrets.joined(base) == "assign:0:21" and secrets.joined(every) == "assign:0:21,wide:12:29"
+    assert secrets.joined(secrets.scan("password = hunter22 ok")[1]) == "assign:0:19"
+
+
 def test_find_secrets(docs, none):
     got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
     assert (got[14].n_assign, got[14].n_access, got[14].n_hex, got[14].n_named) == (1, 1, 1, 1)
