@@ -37,12 +37,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlake.llm.components import components, forest
 from emberlake.llm.kernels import U64, lean, mix, shingle_sets, small_batches
 from emberlake.llm.scratch import Scratch, shuffle_partitions
+from emberlake.llm.tables import row_key
 
 SID = 12  # bytes of a set's digest
 CHUNK_BITS = 14  # counters of a row of the sketch: 2**14
@@ -148,7 +149,7 @@ def _slim(k: int, lower: bool, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << bits, np.uint32)
-        names = ["doc_id", "n", "sid", "bm", "chunk", "counts"]
+        names = ["doc_id", "n", "sid", "bm", "chunk", "counts", "row"]
         for batch in batches:
             ids, n, sid, bm, held = batch.column(0), [], [], [], []
             for _, u in shingle_sets(batch.column(1), k, lower):
@@ -162,13 +163,13 @@ def _slim(k: int, lower: bool, bits: int):
             if held:
                 sketch += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
             if len(ids):
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(bm, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(bm, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary()), batch.column(2)], names)
         step = 1 << CHUNK_BITS
         some = [c for c in range(len(sketch) // step) if sketch[c * step : (c + 1) * step].any()]
         if some:
             counts = [zlib.compress(sketch[c * step : (c + 1) * step].tobytes(), 1) for c in some]
             m = len(some)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(some, pa.int32()), pa.array(counts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(some, pa.int32()), pa.array(counts, pa.binary()), pa.nulls(m, pa.binary())], names)
 
     return run
 
@@ -514,20 +515,31 @@ def link_components(docs: DataFrame, k: int = 5, share: int = 80, lower: bool =
     number of rows) and the count from which shingles are ordered last; they change cost, never
     results.
     """
+    slim, every = _groups(docs, k, share, lower, sketch_bits, frequent)
+    return slim.join(every, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _row() -> Column:
+    """Identity of a row: its doc_id, which may be null or shared, and its text."""
+    return F.unhex(row_key("doc_id", "text"))
+
+
+def _groups(docs: DataFrame, k: int, share: int, lower: bool, sketch_bits: int | None, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, sid, row), and of each set (sid, component_id, group, pick): pick is its first row, that of the smallest doc_id."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", _row().alias("row"))
     if sketch_bits is None:
         sketch_bits = max(18, min(24, (4 * docs.count()).bit_length()))
     scratch = Scratch(spark, "ngram")
     parts = shuffle_partitions(spark)
     buckets = parts * 8
-    first = scratch.keep(docs.mapInArrow(lean(_slim(k, lower, sketch_bits)), "doc_id long, n long, sid binary, bm binary, chunk int, counts binary"), "slim")
-    slim = first.filter("chunk is null").select("doc_id", "n", "sid")
+    first = scratch.keep(docs.mapInArrow(lean(_slim(k, lower, sketch_bits)), "doc_id long, n long, sid binary, bm binary, chunk int, counts binary, row binary"), "slim")
+    slim = first.filter("chunk is null").select("doc_id", "n", "sid", "row")
     mean = (slim.agg(F.sum("n")).first()[0] or 0) / (1 << sketch_bits)
     heavy = heavy_counters(first.filter("chunk is not null").select("chunk", "counts"), sketch_bits, max(frequent, mean + 12 * mean**0.5))
     shared = spark.sparkContext.broadcast(heavy.tobytes())  # one bit a counter: a fixed size
-    sets = scratch.keep(first.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("bm").alias("bm")), "sets")
+    sets = scratch.keep(first.filter("sid is not null").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("pick"), F.max("bm").alias("bm")), "sets")
 
     # each step is a function, so that plans it no longer needs (and their shuffle files) can go
     def in_company() -> DataFrame:
@@ -545,8 +557,8 @@ def link_components(docs: DataFrame, k: int = 5, share: int = 80, lower: bool =
     def at_home() -> DataFrame:
         """Arrays of the sets that are left, with each one's most populous tile."""
         home = alive.groupBy("sid").agg(F.max(F.struct("m", "g1", "g2", "block")).alias("home"))
-        chosen = sets.join(home, "sid").select(F.col("rep").alias("doc_id"), "sid", "home.g1", "home.g2", "home.block")
-        texts = docs.join(chosen, "doc_id").select("text", "sid", "g1", "g2", "block")
+        chosen = sets.join(home, "sid").select("pick.row", "sid", "home.g1", "home.g2", "home.block")
+        texts = docs.join(chosen, "row").select("text", "sid", "g1", "g2", "block")
         return scratch.keep(texts.mapInArrow(lean(_arrays(k, lower)), "sid binary, g1 long, g2 long, block int, arr binary"), "arrays")
 
     def near_edges() -> DataFrame:
@@ -588,15 +600,25 @@ def link_components(docs: DataFrame, k: int = 5, share: int = 80, lower: bool =
     scratch.drop(arrays, alive)
     scratch.settle()
 
-    named = final.join(sets, final.node == sets.sid).select("sid", "root", "rep")
+    named = final.join(sets, final.node == sets.sid).select("sid", "root", F.col("pick.doc_id").alias("rep"))
     label = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = named.join(label, "root").select("sid", "component_id")
-    every = sets.join(classes, "sid", "left").select("sid", F.coalesce("component_id", "rep").alias("component_id"))
-    return slim.join(every, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = named.join(label, "root").select("sid", "root", "component_id")
+    every = sets.join(classes, "sid", "left").select("sid", F.coalesce("component_id", "pick.doc_id").alias("component_id"), F.coalesce("root", "sid").alias("group"), "pick")
+    return slim, every
 
 
-def keep_one(docs: DataFrame, k: int = 5, share: int = 80, **more) -> DataFrame:
-    """Rows of ``docs`` with one document of each group left, that of the smallest doc_id; columns as they are."""
-    groups = link_components(docs, k, share, **more)
-    drop = groups.filter("component_id <> doc_id").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+def keep_one(docs: DataFrame, k: int = 5, share: int = 80, lower: bool = True, sketch_bits: int | None = None, frequent: int = 300) -> DataFrame:
+    """One row of ``docs`` for each group, that of the smallest doc_id (nulls last), then of the least digest; columns as they are.
+
+    Rows are known by doc_id and text; of equal ones one stays. Texts without words are in
+    no group and all stay.
+    """
+    slim, every = _groups(docs, k, share, lower, sketch_bits, frequent)
+    kept = every.groupBy("group").agg(F.min("pick").alias("pick")).select(F.col("pick.row").alias("_row"), F.lit(True).alias("_kept"))
+    rows = slim.filter("sid is not null").groupBy(F.col("row").alias("_row")).agg(F.count(F.lit(1)).alias("equal"))
+    fate = rows.join(kept, "_row", "left").filter("_kept is null or equal > 1").select("_row", "_kept")
+    fate = Scratch(docs.sparkSession, "ngram").keep(fate, "fate")
+    known = docs.withColumn("_row", _row())
+    number = F.row_number().over(Window.partitionBy("_row").orderBy(F.xxhash64(*docs.columns)))
+    repeated = known.join(fate.filter("_kept"), "_row", "left_semi").withColumn("_nth", number).filter("_nth = 1")
+    return known.join(fate, "_row", "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns))

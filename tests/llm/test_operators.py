@@ -99,6 +99,18 @@ def test_keep_one(docs, messy):
     assert 1 in left and 2 not in left and 3 not in left and 5 in left and 7 in left and None in left
 
 
+def test_keep_one_keeps_rows_apart(spark):
+    """Repeats, null doc_ids and shared doc_ids: exactly one row of each group stays."""
+    base = [f"w{i}" for i in range(60)]
+    text, near, own, other = " ".join(base), " ".join([*base[:59], "x"]), " ".join(f"o{i}" for i in range(40)), " ".join(f"p{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, near), (2, own), (None, text), (None, near), (None, other), (None, other), (None, None), (4, ""), (4, ""), (3, own)]
+    df = spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id long, text string, source string").repartition(4)
+    got = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(df).collect())
+    assert got == {(1, text): 1, (2, own): 1, (None, other): 1, (None, None): 1, (4, ""): 2}
+    ids = spark.createDataFrame([(None, text), (None, near), (None, other)], "doc_id long, text string")
+    assert ngram_join.keep_one(ids).count() == 2
+
+
 def test_components(spark):
     edges = [(b"a", b"b"), (b"c", b"b"), (b"d", b"e"), (b"e", b"d"), (b"f", b"f"), *((str(i).zfill(3).encode(), str(i + 1).zfill(3).encode()) for i in range(100, 140))]
     df = spark.createDataFrame(edges, "a binary, b binary").repartition(7)
