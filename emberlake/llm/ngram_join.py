@@ -13,8 +13,9 @@ family of near copies costs about one comparison a member and pairs are never li
 1. in each tile, sets that no other set of the tile can reach by size and bitmap go;
 2. each set left goes with its array to its most populous tile, in bounded blocks; blocks
    of one tile are bridged through their largest groups;
-3. tiles that still span several components compare bitmaps between components, block
-   pair by block pair, keeping the sets of which some pair passes;
+3. tiles that still span several components compare bitmaps between components (of sets
+   that did not meet in step 2), block pair by block pair, keeping the sets of which some
+   pair passes;
 4. those sets meet again with their arrays for the exact decision.
 
 Every pair of sets that share a tile is thus linked, bounded away, decided, or already
@@ -48,7 +49,7 @@ from emberlake.llm.tables import row_key
 SID = 12  # bytes of a set's digest
 CHUNK_BITS = 14  # counters of a row of the sketch: 2**14
 FLUSH = 1 << 21  # postings a task holds before it hands them on
-BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17  # bounds of a block of a tile, where arrays travel
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20  # bounds of a block of a tile, where arrays travel
 WIDE_SETS = 4096  # sets of a block of a tile, where bitmaps travel
 RAW = np.dtype([("h", "<u8"), ("sid", f"V{SID}"), ("n", "<u4"), ("at", "<u2")])  # at: place in the set's order, in 65536ths of n, rounded down
 NEAR = 48  # places of a tile up to which pairs are looked at one by one
@@ -412,11 +413,14 @@ def _edge_table(edges: list[tuple[bytes, bytes]]) -> pa.Table | None:
     return pa.table({"a": pa.array([e[0] for e in edges], pa.binary()), "b": pa.array([e[1] for e in edges], pa.binary())})
 
 
-def reachable(t: pa.Table, share: int, comps: list | None = None) -> np.ndarray:
-    """Rows of a tile that some row (of another component, if given) may be linked with, by size and bitmap."""
+def reachable(t: pa.Table, share: int, *settled: list) -> np.ndarray:
+    """Rows of a tile that some row may be linked with, by size and bitmap.
+
+    settled: labels of the rows; pairs that agree in any of them are decided already.
+    """
     n = t["n"].to_numpy()
     if len(n) == 2:  # most tiles: the same bound on two integers
-        if comps and comps[0] == comps[1]:
+        if any(x[0] == x[1] for x in settled):
             return np.zeros(0, np.int64)
         small, large = sorted(n.tolist())
         a, b = (x.as_py() for x in t["bm"])
@@ -428,16 +432,16 @@ def reachable(t: pa.Table, share: int, comps: list | None = None) -> np.ndarray:
     order = sorted(range(len(n)), key=lambda i: (n[i], sids[i]))
     sizes = n[order].astype(np.int64)
     maps = prepare(sizes, [t["bm"][i].as_py() for i in order])
-    label = None
-    if comps:
-        names = {c: i for i, c in enumerate(dict.fromkeys(comps))}
-        label = np.array([names[comps[i]] for i in order])
+    labels = []
+    for given in settled:
+        names = {c: i for i, c in enumerate(dict.fromkeys(given))}
+        labels.append(np.array([names[given[i]] for i in order]))
     alive = np.zeros(len(n), bool)
     for i in range(1, len(n)):
-        if label is None and alive[i]:
+        if not labels and alive[i]:
             continue
         found = candidates(i, sizes, maps, share)
-        if label is not None:
+        for label in labels:
             found = found[label[found] != label[i]]
         if len(found):
             alive[i] = True
@@ -491,13 +495,13 @@ def _cluster_group(share: int):
 
 
 def _survivors(share: int):
-    """Of the sets of a block pair, those that some set of another component cannot be bounded away from."""
+    """Of the sets of a block pair, those that some set of another component and another home cannot be bounded away from."""
 
     def run(t: pa.Table) -> pa.Table | None:
         if t.num_rows < 2:
             return None
         sids = t["sid"].to_pylist()
-        kept = reachable(t, share, t["comp"].to_pylist()).tolist()
+        kept = reachable(t, share, t["comp"].to_pylist(), t["home"].to_pylist()).tolist()
         if not kept:
             return None
         names = b"".join(sorted(sids[i] for i in kept))
@@ -556,15 +560,16 @@ def _groups(docs: DataFrame, k: int, share: int, lower: bool, sketch_bits: int |
 
     def at_home() -> DataFrame:
         """Arrays of the sets that are left, with each one's most populous tile."""
-        home = alive.groupBy("sid").agg(F.max(F.struct("m", "g1", "g2", "block")).alias("home"))
-        chosen = sets.join(home, "sid").select("pick.row", "sid", "home.g1", "home.g2", "home.block")
-        texts = docs.join(chosen, "row").select("text", "sid", "g1", "g2", "block")
-        return scratch.keep(texts.mapInArrow(lean(_arrays(k, lower)), "sid binary, g1 long, g2 long, block int, arr binary"), "arrays")
+        home = alive.groupBy("sid").agg(F.max(F.struct("m", "g1", "g2", "block")).alias("home")).select("sid", "home.g1", "home.g2", "home.block")
+        # the number of a tile's blocks goes along with the slim rows, so that arrays are dealt once
+        blocks = home.groupBy("g1", "g2").agg(F.count_distinct("block").alias("blocks"))
+        chosen = sets.select("sid", "pick.row").join(home.join(blocks, ["g1", "g2"]), "sid")
+        texts = docs.join(chosen, "row").select("text", "sid", "g1", "g2", "block", "blocks")
+        return scratch.keep(texts.mapInArrow(lean(_arrays(k, lower)), "sid binary, g1 long, g2 long, block int, blocks long, arr binary"), "arrays")
 
     def near_edges() -> DataFrame:
         """2. Links within the blocks of home tiles, and bridges between blocks."""
-        blocks = arrays.groupBy("g1", "g2").agg(F.count_distinct("block").alias("blocks"))
-        rows = arrays.select("g1", "g2", "block", "sid", "arr").join(blocks, ["g1", "g2"])
+        rows = arrays.select("g1", "g2", "block", "sid", "arr", "blocks")
         near = scratch.keep(by_key(rows, ["g1", "g2", "block"], _cluster_block(share), "g1 long, g2 long, a binary, b binary, arr binary"), "near")
         bridges = near.filter("b is null").select("g1", "g2", F.col("a").alias("sid"), "arr", F.col("a").alias("comp"))
         out = scratch.keep(near.filter("b is not null").select("a", "b").union(by_key(bridges, ["g1", "g2"], _cluster_group(share), "a binary, b binary")), "edges")
@@ -573,12 +578,15 @@ def _groups(docs: DataFrame, k: int, share: int, lower: bool, sketch_bits: int |
 
     def open_groups() -> DataFrame:
         """3. Sets of tiles with several components that bitmaps cannot keep apart."""
-        placed = alive.join(comps, alive.sid == comps.node, "left").select("g1", "g2", "block", "sid", "n", F.coalesce("root", "sid").alias("comp"))
+        # the sets of one home (a block of a tile) have met there with their arrays: those pairs are decided
+        homes = arrays.select("sid", F.unhex(F.md5(F.concat_ws(" ", "g1", "g2", "block"))).alias("home"))
+        names = homes.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "home", F.coalesce("root", "sid").alias("comp"))
+        placed = alive.join(names, "sid").select("g1", "g2", "block", "sid", "n", "home", "comp")
         placed = scratch.keep(placed, "placed")
         mixed = placed.groupBy("g1", "g2").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max("block").alias("last")).filter("c1 <> c2").select("g1", "g2", "last")
         open_tiles = placed.join(mixed, ["g1", "g2"]).join(sets.select("sid", "bm"), "sid")
         pairs = open_tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-        pairs = pairs.select("g1", "g2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "n", "comp", "bm")
+        pairs = pairs.select("g1", "g2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "n", "home", "comp", "bm")
         out = scratch.keep(by_key(pairs, ["g1", "g2", "i", "j"], _survivors(share), "key binary, sids array<binary>").dropDuplicates(["key"]), "open")
         scratch.drop(placed)
         return out
@@ -619,6 +627,9 @@ def keep_one(docs: DataFrame, k: int = 5, share: int = 80, lower: bool = True, s
     fate = rows.join(kept, "_row", "left").filter("_kept is null or equal > 1").select("_row", "_kept")
     fate = Scratch(docs.sparkSession, "ngram").keep(fate, "fate")
     known = docs.withColumn("_row", _row())
+    out = known.join(fate.hint("merge"), "_row", "left_anti").select(docs.columns)
+    if fate.filter("_kept").isEmpty():  # no rows are equal: texts travel once
+        return out
     number = F.row_number().over(Window.partitionBy("_row").orderBy(F.xxhash64(*docs.columns)))
-    repeated = known.join(fate.filter("_kept"), "_row", "left_semi").withColumn("_nth", number).filter("_nth = 1")
-    return known.join(fate, "_row", "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns))
+    repeated = known.join(fate.filter("_kept").hint("merge"), "_row", "left_semi").withColumn("_nth", number).filter("_nth = 1")
+    return out.unionByName(repeated.select(docs.columns))
