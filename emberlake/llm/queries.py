@@ -48,7 +48,7 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlake.llm import substrings
 
-    return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=20)
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
