@@ -101,15 +101,47 @@ def sweep_metric_identity(tables: Tables) -> Tables:
     return out
 
 
-def cutoff(table: DataFrame, time, share: float = SHARE, exact: bool = False) -> int | None:
-    """Time below which the oldest ``share`` of rows lies.
+def order_statistics(table: DataFrame, value, rank: int, few: int = 10_000) -> tuple[int, int]:
+    """The values (whole numbers) at ``rank`` and the next one (or the last), counted from 0, by narrowing a range.
 
-    Pruning needs no exact percentile: the default keeps a bounded sketch (within a
-    ten-thousandth of the rows), where the exact one would hold every distinct time.
+    Each pass sketches percentiles of what is left and counts the rows on either side, so no
+    task ever holds more than the sketch; at most ``few`` rows are sorted in the end.
     """
-    at = F.round(F.percentile(time, share)).cast("long") if exact else F.percentile_approx(time, share, 10_000)
-    got = table.select(at.alias("t")).first()
-    return None if got is None else got.t
+    v = table.select(value.cast("long").alias("v")).filter("v is not null")
+    low, high, size = v.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
+    below, last = 0, rank + 1 if rank + 1 < size else rank
+    while size > few and low < high:
+        left = v.filter(F.col("v").between(low, high))
+        share = [max(0.0, (rank - below) / size - 0.001), min(1.0, (last + 1 - below) / size + 0.001)]
+        a, b = left.agg(F.percentile_approx("v", share, 10_000)).first()[0]
+        if (a, b) == (low, high):
+            b = low + (high - low) // 2  # the sketch no longer narrows: halve the range
+        before, inside = left.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v").between(a, b))).first()
+        upto = below + before + inside
+        if last < below + before:
+            high, size = a - 1, before
+        elif rank < below + before:  # the two values lie on either side of a
+            return left.filter(F.col("v") < a).agg(F.max("v")).first()[0], left.filter(F.col("v") >= a).agg(F.min("v")).first()[0]
+        elif last < upto:
+            low, high, below, size = a, b, below + before, inside
+        elif rank < upto:  # on either side of b
+            return left.filter(F.col("v") <= b).agg(F.max("v")).first()[0], left.filter(F.col("v") > b).agg(F.min("v")).first()[0]
+        else:
+            low, below, size = b + 1, upto, size - before - inside
+    if low == high:
+        return low, high
+    got = sorted(r[0] for r in v.filter(F.col("v").between(low, high)).collect())
+    return got[rank - below], got[last - below]
+
+
+def cutoff(table: DataFrame, time, share: float = SHARE) -> int | None:
+    """Time below which the oldest ``share`` of rows lies, interpolated between the two rows around it."""
+    n = table.filter(time.isNotNull()).count()
+    if not n:
+        return None
+    at = share * (n - 1)
+    low, high = order_statistics(table, time, int(at))
+    return round(float(low) + (float(high) - float(low)) * (at - int(at)))
 
 
 def prune_round(tables: Tables, share: float = SHARE) -> Tables:

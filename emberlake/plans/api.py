@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,12 @@ InvalidParams = _error("InvalidParams", -32602, "invalid params")
 TraceNotFound = _error("TraceNotFound", -32001, "trace not found")
 LogNotFound = _error("LogNotFound", -32002, "log not found")
 MetricNotFound = _error("MetricNotFound", -32003, "metric not found")
-InvalidQuery = _error("InvalidQuery", -32004, "invalid query")
+InvalidTraceID = _error("InvalidTraceID", -32004, "invalid trace id")
+InvalidLogID = _error("InvalidLogID", -32005, "invalid log id")
+InvalidQuery = _error("InvalidQuery", -32007, "invalid query")
+InvalidSpanID = _error("InvalidSpanID", -32008, "invalid span id")
+InvalidStreamID = _error("InvalidStreamID", -32009, "invalid stream id")
+RequestCanceled = _error("RequestCanceled", -32010, "request canceled")
 
 PARAMS: dict[str, tuple[str, ...]] = {
     "searchTraces": ("startTime", "endTime", "query"),
@@ -85,13 +91,19 @@ def positional(method: str, params: Any) -> list:
     return [*params, *[None] * (len(names) - len(params))]
 
 
-def hex_id(value: Any, chars: int = 32) -> str:
+def hex_id(value: Any, chars: int = 32, error: type[RpcError] = InvalidTraceID) -> str:
     text = str(value or "").replace("-", "").lower()
     if not re.fullmatch(rf"[0-9a-f]{{{chars}}}", text):
-        raise InvalidParams(f"not an id of {chars} hex digits: {value!r}")
+        raise error(f"not an id of {chars} hex digits: {value!r}")
     return text
 
 
+def uuid_id(value: Any, error: type[RpcError]) -> str:
+    """A content id as it is stored, dashed; taken with or without dashes."""
+    h = hex_id(value, 32, error)
+    return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
+
+
 def integer(value: Any, needed: bool = False) -> int | None:
     """Exact: a float is refused, a decimal string is taken."""
     if value is None and not needed:
@@ -154,27 +166,37 @@ class Api:
             return run(*positional(method, params))
         except parser.SearchError as e:
             raise InvalidQuery(str(e)) from None
+        except Py4JJavaError as e:
+            if "cancel" in str(e.java_exception).lower():  # the job group of the request was cancelled
+                raise RequestCanceled from None
+            raise
 
     # parts
 
-    def _tree(self, query: Any, fields: dict):
+    def _tree(self, query: Any, fields: dict, signal: compiler.Signal):
         if not query:
             return None
-        return parser.from_wire(query) if isinstance(query, dict) else parser.parse(query, fields | self._known(fields))
+        return parser.from_wire(query) if isinstance(query, dict) else parser.parse(query, self._known(str(query), signal) | fields)
 
-    def _known(self, fields: dict) -> dict:
-        return {r.key: parser.Field(r.key, "attribute", r.type, r.scope) for r in self.store.table("attributes").select("key", "type", "scope").distinct().toLocalIterator() if r.key not in fields}
+    def _known(self, query: str, signal: compiler.Signal) -> dict:
+        """Attributes that the query may name; where scopes share a key, the innermost counts."""
+        words = sorted({w for part in (query.split(), re.split(r"[\s()\[\],=<>!\"'^$]+", query)) for w in part if w})
+        rank = {s: i for i, s in enumerate(signal.scopes)}
+        found = self.store.table("attributes").filter(F.col("key").isin(words) & F.col("scope").isin(list(rank))).select("key", "type", "scope").distinct().collect()
+        inner = {"span": 9, "log": 9, "datapoint": 9}
+        return {r.key: parser.Field(r.key, "attribute", r.type, r.scope) for r in sorted(found, key=lambda r: (inner.get(r.scope, -rank[r.scope]), r.type))}
 
     def _sources(self) -> compiler.Sources:
-        return compiler.Sources(self.store.table("attributes"), self.store.table("events"), self.store.table("links"))
+        return compiler.Sources(*(self.store.table(t) for t in ("attributes", "events", "links", "datapoints", "exemplars")))
 
     def _with_owners(self, df: DataFrame) -> DataFrame:
-        res = self.store.table("resources").select(F.col("id").alias("resource_id"), F.col("attribute_ids").alias("resource_attribute_ids"), F.col("seq").alias("resource_key"))
-        sco = self.store.table("scopes").select(F.col("id").alias("scope_id"), F.col("attribute_ids").alias("scope_attribute_ids"), F.col("name").alias("scope_name"), F.col("version").alias("scope_version"), F.col("seq").alias("scope_key"))
+        res = self.store.table("resources").select(F.col("id").alias("resource_id"), F.col("attribute_ids").alias("resource_attribute_ids"), F.col("dropped_attributes_count").alias("resource_dropped_attributes_count"), F.col("seq").alias("resource_key"))
+        named = [] if "scope_name" in df.columns else [F.col("name").alias("scope_name"), F.col("version").alias("scope_version")]  # a metric stream has its own
+        sco = self.store.table("scopes").select(F.col("id").alias("scope_id"), F.col("attribute_ids").alias("scope_attribute_ids"), F.col("dropped_attributes_count").alias("scope_dropped_attributes_count"), *named, F.col("seq").alias("scope_key"))
         return df.join(res, "resource_id", "left").join(sco, "scope_id", "left")
 
     def _match(self, df: DataFrame, query: Any, fields: dict, signal: compiler.Signal) -> DataFrame:
-        tree = self._tree(query, fields)
+        tree = self._tree(query, fields, signal)
         return df if tree is None else compiler.matching(self._with_owners(df), tree, signal, self._sources())
 
     # traces
@@ -185,7 +207,7 @@ class Api:
 
     def _searchSpans(self, trace_id, query):
         spans = self._with_owners(self.store.table("spans").filter(F.col("trace_id") == hex_id(trace_id)))
-        tree = self._tree(query, compiler.SPAN_FIELDS)
+        tree = self._tree(query, compiler.SPAN_FIELDS, compiler.SPANS)
         spans = compiler.matching(spans, tree, compiler.SPANS, self._sources(), flag="hit") if tree is not None else spans.withColumn("hit", F.lit(True))
         got = rows(traces.search_spans(spans, F.col("hit")).drop("hit"), "position")
         if not got:
@@ -202,7 +224,7 @@ class Api:
         return rows(logs.search_logs(found, integer(start), integer(end)), F.desc("effective_time"), "id")
 
     def _getLog(self, log_id):
-        got = rows(logs.get_log(self._with_owners(self.store.table("logs")), str(log_id)))
+        got = rows(logs.get_log(self._with_owners(self.store.table("logs")), uuid_id(log_id, InvalidLogID)))
         if not got:
             raise LogNotFound
         return got[0]
@@ -215,9 +237,9 @@ class Api:
 
     def _searchMetricSummaries(self, start, end, query):
         streams, ingests = self.store.table("metric_streams"), self.store.table("metric_ingests")
-        tree = self._tree(query, compiler.METRIC_FIELDS)
+        tree = self._tree(query, compiler.METRIC_FIELDS, compiler.METRICS)
         if tree is not None:  # decided for each arrival, then lifted to its stream
-            each = ingests.join(streams.withColumnRenamed("id", "stream_id"), "stream_id").withColumn("attribute_ids", F.col("metadata_ids"))
+            each = ingests.join(streams.withColumnRenamed("id", "stream_id"), "stream_id")
             hit = compiler.matching(self._with_owners(each), tree, compiler.METRICS, self._sources())
             streams = streams.join(hit.select(F.col("stream_id").alias("id")).distinct(), "id", "left_semi")
         return rows(metrics.search_summaries(streams, self._points(), self.store.table("metric_series"), ingests, integer(start), integer(end)), F.desc_nulls_last("last_seen"), "stream_id")
@@ -227,7 +249,7 @@ class Api:
             start=integer(p[1]), end=integer(p[2]), target_buckets=count(p[3]), series_ids=p[4], quantiles=fractions(p[5]), tz_offset_ns=integer(p[6]) or 0, fit_to_data=bool(p[7]), view_buckets=count(p[8]),
             sparkline_buckets=count(p[9]), selected_series_ids=p[10], datapoint_series_ids=p[11], datapoint_series_limit=integer(p[12]), tz_name=p[13],
         )
-        got = self.store.table("metric_streams").filter(F.col("id") == str(p[0])).first()
+        got = self.store.table("metric_streams").filter(F.col("id") == uuid_id(p[0], InvalidStreamID)).first()
         if got is None:
             raise MetricNotFound
         points = self._points().filter(F.col("stream_id") == got.id)
@@ -285,14 +307,14 @@ class Api:
         return len(wanted)  # as asked for, not as found
 
     def _deleteSpanByID(self, span_ids):
-        wanted = [hex_id(s, 16) for s in span_ids or []]
+        wanted = [hex_id(s, 16, InvalidSpanID) for s in span_ids or []]
         self._change(lambda t: retention.delete_spans(t, wanted))
         return len(wanted)
 
     def _deleteLogByID(self, log_ids):
-        wanted = [str(i) for i in log_ids or []]
+        wanted = [uuid_id(i, InvalidLogID) for i in log_ids or []]
         self._change(lambda t: retention.delete_logs(t, wanted))
         return len(wanted)
 
     def _deleteMetricStream(self, stream_id):
-        self._change(lambda t: retention.delete_stream(t, str(stream_id)))
+        self._change(lambda t: retention.delete_stream(t, uuid_id(stream_id, InvalidStreamID)))

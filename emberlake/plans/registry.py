@@ -121,20 +121,10 @@ def salvaged_spans(spark, d):
 
 @register(
     "search_spans_matched",
-    """select s.trace_id, s.span_id, coalesce(s.status_code = 'Error', false) as matched, s.start_time - min(s.start_time) over (partition by s.trace_id) as offset_ns, s.end_time - s.start_time as duration_ns from d_spans s where s.k % 10 = 3""",
-    "d_spans",
-)
-def search_spans_matched(spark, d):
-    spans = derived(spark, d, "d_spans").filter("k % 10 = 3")
-    return traces.search_spans(spans, F.col("status_code") == "Error").select("trace_id", "span_id", "matched", "offset_ns", "duration_ns")
-
-
-@register(
-    "search_spans_all",
     """select s.trace_id, s.span_id, coalesce(s.status_code = 'Error', false) as matched, s.start_time - min(s.start_time) over (partition by s.trace_id) as offset_ns, s.end_time - s.start_time as duration_ns from d_spans s""",
     "d_spans",
 )
-def search_spans_all(spark, d):
+def search_spans_matched(spark, d):
     return traces.search_spans(derived(spark, d, "d_spans"), F.col("status_code") == "Error").select("trace_id", "span_id", "matched", "offset_ns", "duration_ns")
 
 
@@ -206,6 +196,77 @@ def search_span_operators(spark, d):
     return out
 
 
+_SCOPE_CASES = {
+    "event_is": ("exc.code = 3", "exists (select 1 from d_events e where e.span_id = s.span_id and e.timestamp % 7 = 3)"),
+    "event_has": ("exc.code CONTAINS 1", "exists (select 1 from d_events e where e.span_id = s.span_id and e.timestamp % 7 = 1)"),
+    "event_any": ("exc.code != NULL", "exists (select 1 from d_events e where e.span_id = s.span_id)"),
+    "link_is": ("link.rank > 4", "exists (select 1 from d_links l where l.span_id = s.span_id and strlen(l.linked_span_id) > 4 and cast(right(l.linked_span_id, 5) as bigint) // 10000 % 10 > 4)"),
+    "resource_has": ('service.name $ 7', "s.service_name like '%7'"),
+    "resource_not": ("service.name NOT CONTAINS 1", "s.service_name not like '%1%'"),
+    "resource_none": ("no.such = NULL", "true"),
+    "free_resource": ("'#000000007'", "s.service_name like '%#000000007%'"),
+    "free_event": ("code-5", "exists (select 1 from d_events e where e.span_id = s.span_id and e.timestamp % 7 = 5)"),
+    "free_key": ("exc.tag", "exists (select 1 from d_events e where e.span_id = s.span_id)"),
+}
+_SCOPE_FIELDS = {
+    "exc.code": parser.Field("exc.code", "attribute", "string", "event"),
+    "link.rank": parser.Field("link.rank", "attribute", "int64", "link"),
+    "service.name": parser.Field("service.name", "attribute", "string", "resource"),
+    "no.such": parser.Field("no.such", "attribute", "string", "resource"),
+}
+
+
+def _carried(rows, scope, **values):
+    """Child rows with ids of the given attributes, and the dictionary of those."""
+    kinds = {k.replace("_", "."): (c, t) for k, (c, t) in values.items()}
+    entry = F.array(*(F.struct(F.lit(k).alias("key"), c.alias("value"), F.lit(t).alias("type"), F.lit(scope).alias("scope")) for k, (c, t) in kinds.items()))
+    with_ids = rows.withColumn("attribute_ids", F.transform(entry, lambda e: ids.attribute_id(e.key, e.value, e.type, e.scope)))
+    flat = rows.select(F.explode(entry).alias("e")).select("e.*").distinct()
+    return with_ids, flat.select(ids.attribute_id(F.col("key"), F.col("value"), F.col("type"), F.col("scope")).alias("id"), "key", "value", "type", "scope")
+
+
+@register("search_span_scopes", " union all ".join(f"select '{n}' as case_name, count(*) as hits, count(distinct trace_id) as traces from d_spans s where {w}" for n, (_, w) in _SCOPE_CASES.items()), "d_spans", "d_events", "d_links")
+def search_span_scopes(spark, d):
+    spans = derived(spark, d, "d_spans")
+    code = (F.col("timestamp") % 7).cast("string")
+    events, of_events = _carried(derived(spark, d, "d_events"), "event", exc_code=(code, "string"), exc_tag=(F.concat(F.lit("code-"), code), "string"))
+    rank = F.floor(F.right("linked_span_id", F.lit(5)).cast("long") / 10000) % 10
+    links, of_links = _carried(derived(spark, d, "d_links"), "link", link_rank=(rank.cast("string"), "int64"))
+    sources = compiler.Sources(fx.attributes_of(spans).union(of_events).union(of_links).cache(), events, links)
+    own = fx.spans_with_attributes(spans)
+    out = None
+    for name, (text, _) in _SCOPE_CASES.items():
+        tree = parser.parse(text, compiler.SPAN_FIELDS | _SCOPE_FIELDS)
+        hit = compiler.matching(own, tree, compiler.SPANS, sources).agg(F.lit(name).alias("case_name"), F.count(F.lit(1)).alias("hits"), F.count_distinct("trace_id").alias("traces"))
+        out = hit if out is None else out.union(hit)
+    return out
+
+
+_METRIC_CASES = {
+    "label_is": ("user = 17", "exists (select 1 from events e where e.event_type = m.id and e.user_id = 17)"),
+    "label_more": ("user > 140", "exists (select 1 from events e where e.event_type = m.id and e.user_id > 140)"),
+    "exemplar_is": ("hour = 5", "exists (select 1 from events e where e.event_type = m.id and e.value > 400 and @HOUR = 5)"),
+    "name": ("name ^ s OR name = click", "m.id like 's%' or m.id = 'click'"),
+    "free_label": ("u149", "exists (select 1 from events e where e.event_type = m.id and e.user_id = 149)"),
+}
+
+
+@register("search_metric_scopes", " union all ".join(f"select '{n}' as case_name, m.id from (select distinct event_type as id from events) m where {w}" for n, (_, w) in _METRIC_CASES.items()).replace("@HOUR", "hour(e.ts)"))
+def search_metric_scopes(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    points = events.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("metric_ingest_id"), "user_id", "value", "ts")
+    labelled, of_points = _carried(points, "datapoint", user=(F.col("user_id").cast("string"), "int64"), label=(F.concat(F.lit("u"), F.col("user_id").cast("string")), "string"))
+    marked, of_marks = _carried(points.filter("value > 400").select(F.col("id").alias("datapoint_id"), F.hour("ts").cast("string").alias("h")), "exemplar", hour=(F.col("h"), "int64"))
+    sources = compiler.Sources(of_points.union(of_marks).cache(), datapoints=labelled, exemplars=marked)
+    ingests = events.select(F.col("event_type").alias("id"), F.col("event_type").alias("name")).distinct()
+    fields = compiler.METRIC_FIELDS | {"user": parser.Field("user", "attribute", "int64", "datapoint"), "hour": parser.Field("hour", "attribute", "int64", "exemplar")}
+    out = None
+    for name, (text, _) in _METRIC_CASES.items():
+        hit = compiler.matching(ingests, parser.parse(text, fields), compiler.METRICS, sources).select(F.lit(name).alias("case_name"), "id")
+        out = hit if out is None else out.union(hit)
+    return out
+
+
 _LOG_CASES = {
     "severity": ("severityNumber >= 13", "severity_number >= 13"),
     "body": ('body CONTAINS \'"k": 6\'', "body like '%\"k\": 6%'"),
@@ -671,8 +732,8 @@ def delete_trace(spark, d):
 
 @register("retention_cutoff", "select cast(round(quantile_cont(cast(start_time as double), 0.1)) as bigint) // 1000000 as cutoff_ms, (select cast(round(quantile_cont(cast(timestamp as double), 0.1)) as bigint) // 1000000 from d_gauge) as points_ms from d_spans", "d_spans", "d_gauge")
 def retention_cutoff(spark, d):
-    a = retention.cutoff(derived(spark, d, "d_spans"), F.col("start_time"), exact=True)
-    b = retention.cutoff(derived(spark, d, "d_gauge"), F.col("timestamp"), exact=True)
+    a = retention.cutoff(derived(spark, d, "d_spans"), F.col("start_time"))
+    b = retention.cutoff(derived(spark, d, "d_gauge"), F.col("timestamp"))
     return spark.range(1).select(F.lit(a // 1000000).alias("cutoff_ms"), F.lit(b // 1000000).alias("points_ms"))
 
 

@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from emberlake.plans.api import Api, InvalidParams, LogNotFound, MethodNotFound, TraceNotFound
+from emberlake.operators import retention
+from emberlake.plans.api import Api, InvalidLogID, InvalidParams, InvalidQuery, LogNotFound, MethodNotFound, TraceNotFound
+from emberlake.plans.search import compiler
 from emberlake.sources import store as st
 from emberlake.sources.store import Store
 from emberlake.streaming import ingest
@@ -29,7 +31,7 @@ def traces(*spans):
     return {"resourceSpans": [{"resource": RESOURCE, "scopeSpans": [{"scope": {"name": "lib", "version": "1"}, "spans": list(spans)}]}]}
 
 
-SPANS = traces(span(1, 0), span(2, 1, status={"code": 2}, events=[{"name": "exception", "timeUnixNano": str(T + 5)}]), span(3, 9), span(4, 5), span(5, 4))
+SPANS = traces(span(1, 0), span(2, 1, status={"code": 2}, events=[{"name": "exception", "timeUnixNano": str(T + 5), "attributes": [attr("ek", stringValue="eventval")]}]), span(3, 9, links=[{"traceId": "ab" * 16, "spanId": "cd" * 8, "traceState": "st=1", "attributes": [attr("lk", stringValue="linkval")]}]), span(4, 5), span(5, 4))
 LOGS = {
     "resourceLogs": [
         {
@@ -51,7 +53,7 @@ METRICS = {
             "scopeMetrics": [
                 {
                     "metrics": [
-                        _metric("g", "gauge", [{"timeUnixNano": str(T + i * 10**9), "asDouble": float(i), "exemplars": [{"timeUnixNano": str(T), "asDouble": 1.0}]} for i in range(10)]),
+                        _metric("g", "gauge", [{"timeUnixNano": str(T + i * 10**9), "asDouble": float(i), "attributes": [attr("color", stringValue="red")], "exemplars": [{"timeUnixNano": str(T), "asDouble": 1.0, "filteredAttributes": [attr("xk", stringValue="exval")]}]} for i in range(10)]),
                         _metric("s", "sum", [{"timeUnixNano": str(T + i * 10**9), "asInt": str(v)} for i, v in enumerate((1, 4, 9, 2, 5))], aggregationTemporality=2, isMonotonic=True),
                         _metric("h", "histogram", [{"timeUnixNano": str(T + i * 10**9), "count": "100", "sum": 25.5, "bucketCounts": ["10", "20", "30", "25", "15"], "explicitBounds": [0.5, 1, 1.5, 2]} for i in range(2)], aggregationTemporality=1),
                         _metric("e", "exponentialHistogram", [{"timeUnixNano": str(T), "count": "50", "scale": 2, "zeroCount": "5", "positive": {"offset": 1, "bucketCounts": ["5", "10", "15", "10", "5"]}, "negative": {"offset": 0, "bucketCounts": ["2", "3"]}}], aggregationTemporality=1),
@@ -95,11 +97,42 @@ def test_searches(api):
     assert api.call("searchTraces", [T + 10**12, None]) == []
 
 
+def test_search_scopes(api):
+    def spans(query):
+        got = api.call("searchTraces", {"query": query})
+        return got[0]["span_count"] if got else 0
+
+    # attributes of events and links, by id, by value and for presence
+    assert [spans(q) for q in ("ek = eventval", "ek CONTAINS entv", "ek != other", "ek != NULL", "ek = NULL", "ek = nothing")] == [1, 1, 1, 1, 0, 0]
+    assert [spans(q) for q in ("lk = linkval", "lk ^ link", "link.traceState = 'st=1'", "link.droppedAttributesCount = 0")] == [1, 1, 1, 1]
+    assert [spans(q) for q in ("n != NULL", "n = NULL", "service.name = NULL", "resource.droppedAttributesCount = 0", "droppedEventsCount = 0")] == [5, 0, 0, 5, 5]
+    # free text: own, resource, event and link attributes, keys, links, array elements
+    assert [spans(q) for q in ("shop", "eventval", "linkval", "lk", "'st=1'", "cdcd", "b", "lib")] == [5, 1, 1, 1, 1, 1, 5, 5]
+    many = compiler.MOST_IDS
+    try:
+        compiler.MOST_IDS = 0  # the same through joins
+        assert [spans(q) for q in ("ek CONTAINS entv", "n > 3", "linkval", "shop", "n = NULL")] == [1, 2, 1, 5, 0]
+    finally:
+        compiler.MOST_IDS = many
+    with pytest.raises(InvalidQuery):
+        api.call("searchTraces", {"query": "n > abc"})
+
+
+def test_metric_searches(api):
+    def names(query):
+        return sorted(c["name"] for c in api.call("searchMetricSummaries", {"query": query}))
+
+    assert [names(q) for q in ("name = g", "color = red", "color ^ re", "xk = exval", "xk CONTAINS xva", "color = NULL", "color = blue")] == [["g"], ["g"], ["g"], ["g"], ["g"], [], []]
+    assert [names(q) for q in ("exval", "red", "color", "shop", "service.name = shop", "type = Sum", "name = g OR name = h")] == [["g"], ["g"], ["g"], ["e", "g", "h", "s"], ["e", "g", "h", "s"], ["s"], ["g", "h"]]
+
+
 def test_logs(api):
     got = api.call("searchLogs", [])
     assert [(g["severity_text"], len(g["body_preview"])) for g in got] == [("ERROR", 300), ("INFO", 5)]
     assert api.call("getLog", [got[1]["id"]])["body"] == "hello"
     with pytest.raises(LogNotFound):
+        api.call("getLog", ["0" * 32])
+    with pytest.raises(InvalidLogID):
         api.call("getLog", ["none"])
 
 
@@ -133,8 +166,11 @@ def test_parameters(api):
         with pytest.raises(InvalidParams):
             api.call("searchTraces", bad)
     answer = json.loads(api.handle('{"jsonrpc": "2.0", "id": 7, "method": "searchTraces", "params": {"query": "name ="}}'))
-    assert answer["error"]["code"] == -32004 and answer["id"] == 7
+    assert answer["error"]["code"] == -32007 and answer["id"] == 7
     assert json.loads(api.handle("{"))["error"]["code"] == -32700
+    codes = {("searchSpans", "x"): -32004, ("getLog", "x"): -32005, ("deleteSpanByID", "x"): -32008, ("getMetric", "x"): -32009, ("searchSpans", "f" * 32): -32001, ("getMetric", "f" * 32): -32003}
+    for (method, given), code in codes.items():
+        assert json.loads(api.handle(json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": [given]})))["error"]["code"] == code
 
 
 def test_loading_again_adds_nothing(api, spark):
@@ -154,7 +190,7 @@ def test_changes(api):
     assert left["spans"].count() == 0 and left["logs"].count() == 2
     # nothing that is still used went, nothing unused stayed
     ids = {r.id for r in left["attributes"].select("id").collect()}
-    used = {i for t in ("logs", "datapoints", "resources", "scopes") for r in left[t].select(F.explode("attribute_ids").alias("i")).collect() for i in [r.i]}
+    used = {i for t in ("logs", "datapoints", "exemplars", "resources", "scopes") for r in left[t].select(F.explode("attribute_ids").alias("i")).collect() for i in [r.i]}
     assert ids == used
     api.store.retain(1)
     assert api.store.table("logs").count() < 2
@@ -168,3 +204,14 @@ def test_store_gate(spark, tmp_path):
     assert st.byte_size("512MB") == 512 * 10**6 and st.byte_size("") == st.DEFAULT_DISK and st.byte_size("0") == 0
     with pytest.raises(ValueError):
         st.byte_size("lots")
+
+
+def test_order_statistics(spark):
+    import random
+
+    r = random.Random(3)
+    for values in ([5], [1, 1, 1, 2], list(range(1000)), [r.randint(0, 50) for _ in range(3000)], [10**18 + r.randint(0, 10**15) for _ in range(3000)]):
+        df = spark.createDataFrame([(v,) for v in values], "t long")
+        s = sorted(values)
+        for rank in {0, len(s) // 10, len(s) // 2, len(s) - 1}:
+            assert retention.order_statistics(df, F.col("t"), rank, few=20) == (s[rank], s[min(rank + 1, len(s) - 1)])
