@@ -11,7 +11,8 @@ Defined results: null and empty texts have only the bias and length features and
 score like any other; labels that are null are left out, repeated labels of a document
 are averaged (a tie counts as 1); without labels of both kinds the score is the share of
 label 1 (0.5 without labels); repeated rows each give a row; a null doc_id is not held
-out; extra columns are ignored; an empty table gives an empty result.
+out; where rows of several texts share a labelled doc_id the least text is learned from;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -145,7 +146,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Learn ``labels.quality`` from at most ``max_train`` labelled rows that are not held out; one task trains."""
+    """Learn ``labels.quality`` from at most ``max_train`` labelled rows that are not held out.
+
+    The rows are picked where they lie; only the sample goes to the one task that trains.
+    """
     small_batches(docs.sparkSession)
     known = labels.filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
@@ -157,12 +161,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
         texts: dict[int, tuple[str | None, int]] = {}
         for batch in batches:
             for i, text, y in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                texts[i] = (text, y)
+                if i not in texts or (text or "") < (texts[i][0] or ""):
+                    texts[i] = (text, y)
         order = sorted(texts, key=lambda i: (int(mix(np.array([i], np.int64).view(U64))[0]), i))
         model = train([texts[i][0] for i in order], [texts[i][1] for i in order])
         yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.weights.tobytes()], pa.binary())], ["bias", "weights"])
 
-    got = rows.coalesce(1).mapInArrow(lean(run), "bias double, weights binary").first()
+    got = rows.repartition(1).mapInArrow(lean(run), "bias double, weights binary").first()
     if got is None:
         return train([], [])
     return Model(got.bias, np.frombuffer(got.weights, np.float32))
