@@ -140,6 +140,32 @@ def test_lexer_adds_spans():
     assert secrets.redact("password = hunter22 ok") == "password = [REDACTED] ok"
 
 
+def test_lexer_reads_planted_syntax():
+    """Every form of source and configuration, with the spans that it must and must not give, in any mixture."""
+    import random
+
+    kept = [  # § marks what must be found
+        'part = "§Zq9plum§" + "§4471horse!§"; db_credentials = part', '<add key="DbCredential" value="§Kq8$fjd!93§">', 'creds = "§Abc!99xyz§"', '{"db": {"pwd": {"value": "§Hq83nn!d§"}}}',
+        "database:\n  db_pwd:\n    value: §hj38dkw9§\n  port: 54321987\nend", "export DB_PWD=§hunter2x9§", 'conf["db_pwd"] = "§x9y8z7w6§"', 'connect(user="somebody99", pwd="§q1w2e3r4§")', 'set("db.pwd", "§q1w2e3r4§")',
+        "<pwd>§q1w2e3r4§</pwd>", 'pwd: str = "§q1w2e3r4§"', "don't forget: the pwd = '§q1w2e3r4§' it's", '/* db_pwd = "§q1w2e3r4§" */', "pwd => '§q1w2e3r4§'", '$pwd = $other . "§q1w2e3r4§";', "x" * 200 + '_pwd = "§q1w2e3r4§"', 'db_pwd = """§a9b8 c7d6§"""',
+        '{ later = "§z9y8x7w6§"\n creds = later }',
+    ]
+    left = [
+        "# pwd_note: see_documentation_page1", "author: Jane Smith 1984", "the key: to success is 100 things", "db_pwd = get_pwd(arg1)", "function f() { const inner = \"q1w2e3r4\"; }\ndb_pwd = inner", 'title = "a plain sentence, 12 words"',
+        "pwd = None", "pass: 12", "keyboard = 'qwerty keys'", "it's a pass/fail thing: 2 of 3", "/* never closed pwd", '"""', "`", "\\", "pwd =", "pwd: \n", "<pwd></pwd>", "} ] ) pwd",
+    ]
+    for t in [*kept, *left]:
+        plain = t.replace("§", "")
+        marks = [m.start() - i for i, m in enumerate(re.finditer("§", t))]
+        assert [(s, e) for s, k, e in secrets.scan(plain)[1] if k == 3] == list(zip(marks[::2], marks[1::2], strict=True)), t
+    r = random.Random(5)
+    for _ in range(200):  # scraps in any order: spans lie in the text, base spans stay, nothing crashes
+        t = "".join(r.choice([*kept, *left, " ", "\n", '"', "'", "{", "é", "password = abc123!x"]) for _ in range(r.randint(1, 8))).replace("§", "")
+        base, every = secrets.scan(t)
+        assert all(0 <= s < e <= len(t) for s, _, e in every) and set(base) <= set(every) and base == secrets.base_spans(t)
+        secrets.redact(t)
+
+
 def test_secrets_go_whole():
     """Values with characters that the base patterns stop at, and with spaces."""
     for t, left in [
