@@ -3,15 +3,20 @@
 Captures are written as gzip members of WARC/1.1 records into archives held as rows of
 bytes (any shared store that Spark writes to; `export` puts them into plain files). Equal
 payloads are stored once: the capture of smallest page_id is the response, the others are
-revisit records that name it. Each archive part, when read, gives a run of index rows
-sorted by URL key and timestamp. Runs are dealt by ranges of the key and merged k-way by
-a loser tree in each range, so that ranges in order are one globally ordered history.
+revisit records that name it; `payloads` resolves them. Each archive part, when read, is a
+run of index rows sorted by URL key and timestamp, stored as blocks of at most BLOCK rows.
+Runs are merged externally: blocks come to a task in the order of their first rows (Spark
+sorts and spills them), a loser tree over the blocks under way gives the next row, and only
+blocks that reach the current row are held, so memory is the fan-in times a block. While
+there are more than FAN_IN runs, groups of about FAN_IN are merged to longer stored runs; the
+last merge is cut by ranges of the key, blocks being split at the cuts, so that ranges in
+order are one globally ordered history.
 
 Defined results: null html is an empty payload; null url is an empty target; repeated rows
 (equal page_id and payload) are equal records; a null page_id comes before all others;
 payloads below ``least_bytes`` are always responses; extra columns are ignored; an empty
 table gives an empty result. A page or URL of any number of captures is dealt by payload
-or key and time, never as one group.
+or by key, time and place in the archives, never as one group.
 """
 
 from __future__ import annotations
@@ -19,7 +24,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 from urllib.parse import urlsplit
@@ -29,12 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlake.llm.kernels import lean, small_batches
 from emberlake.llm.scratch import Scratch, shuffle_partitions
 
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 PART_BYTES = 4 << 20  # bytes of a row of an archive
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
 FIRST = -(1 << 63)
+BLOCK = 512  # index rows of a block of a run
+FAN_IN = 256  # runs that are merged at once
+SAMPLE = 20  # block heads a range that cuts are chosen from
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -141,11 +152,12 @@ def write_archives(pages: DataFrame, scratch: Scratch, least_bytes: int = 0) ->
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["archive", "part", "data"])
 
-    return scratch.keep(rows.mapInArrow(run, ARCHIVES), "archives")
+    small_batches(pages.sparkSession)
+    return scratch.keep(rows.mapInArrow(lean(run), ARCHIVES), "archives")
 
 
 INDEX = "run string, url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, archive string, part int, offset long, length long"
-KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -154,12 +166,39 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, KINDS[t]) for c, (_, t) in zip(cols, spec, strict=True)], [n for n, _ in spec])
 
 
+BLOCKS = "run string, url_key string, captured string, page_id long, archive string, part int, offset long, body binary"
+HEAD = ("url_key", "captured", "page_id", "archive", "part", "offset")
+
+
 def _order(row: tuple) -> tuple:
-    return (row[1], row[2], FIRST if row[3] is None else row[3])
+    """URL key, timestamp, page, then the record's place: no two rows are equal."""
+    return (row[1], row[2], FIRST if row[3] is None else row[3], row[9], row[10], row[11])
+
+
+def _blocks(run: str, rows: list[tuple]) -> Iterator[tuple]:
+    """Sorted index rows as stored blocks, each with the order of its first row."""
+    for at in range(0, len(rows), BLOCK):
+        part = rows[at : at + BLOCK]
+        batch = _batch(part, INDEX)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        yield (run, *_order(part[0]), sink.getvalue().to_pybytes())
+
+
+def _rows(body: bytes) -> list[tuple]:
+    with pa.ipc.open_stream(body) as stream:
+        return [row for batch in stream for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+
+
+def _block_batch(rows: list[tuple], extra: str = "") -> pa.RecordBatch:
+    spec = [c.split() for c in (BLOCKS + extra).split(", ")]
+    cols = list(zip(*rows, strict=True)) or [[]] * len(spec)
+    return pa.RecordBatch.from_arrays([pa.array(c, KINDS[t]) for c, (_, t) in zip(cols, spec, strict=True)], [n for n, _ in spec])
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Index rows of all records, as locally sorted runs; payloads are read back and checked against their digests."""
+    """Locally sorted runs of index rows, one for each archive part, as blocks; payloads are read back and checked against their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,10 +214,25 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     url = head.get("WARC-Target-URI", "")
                     rows.append((f"{name}/{number}", url_key(url), head["WARC-Date"], _page(head["WARC-Record-ID"]), size, digest, kind, _page(head.get("WARC-Refers-To")), url, name, number, offset, length))
                 rows.sort(key=_order)
-                for at in range(0, len(rows), 8192):
-                    yield _batch(rows[at : at + 8192], INDEX)
+                yield _block_batch(list(_blocks(f"{name}/{number}", rows)))
+
+    return archives.mapInArrow(lean(run), BLOCKS)
+
 
-    return archives.mapInArrow(run, INDEX)
+def payloads(archives: DataFrame, index: DataFrame) -> DataFrame:
+    """(page_id, payload) of every capture of ``index``, those of revisits taken from the response that they name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(2):
+                got = [(head, block) for head, block in (parse(raw) for _, _, raw in members(data.as_py())) if head["WARC-Type"] == "response"]
+                ids, digests = [_page(h["WARC-Record-ID"]) for h, _ in got], [h["WARC-Payload-Digest"].removeprefix("sha1:") for h, _ in got]
+                bodies = [b.partition(b"\r\n\r\n")[2] for _, b in got]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.string()), pa.array(bodies, pa.binary())], ["held_by", "held_digest", "payload"])
+
+    held = archives.mapInArrow(lean(run), "held_by long, held_digest string, payload binary").dropDuplicates(["held_by", "held_digest"])
+    wanted = index.select("page_id", F.when(F.col("record_type") == "revisit", F.col("refers_to")).otherwise(F.col("page_id")).alias("of"), "payload_digest")
+    return wanted.join(held, F.col("of").eqNullSafe(F.col("held_by")) & (F.col("payload_digest") == F.col("held_digest"))).select("page_id", "payload")
 
 
 class LoserTree:
@@ -187,11 +241,11 @@ class LoserTree:
     Taking the winner replays only its path to the root: one comparison a level.
     """
 
-    def __init__(self, runs: list[list], key):
+    def __init__(self, runs: list[list], key, at: list[int] | None = None):
         self.runs, self.key = runs, key
-        self.at = [0] * len(runs)
+        self.at = list(at or [0] * len(runs))
         self.k = max(1, len(runs))
-        self.heads = [(key(r[0]), i) if r else None for i, r in enumerate(runs)]
+        self.heads = [(key(r[a]), i) if a < len(r) else None for i, (r, a) in enumerate(zip(runs, self.at, strict=True))]
         self.nodes = [-1] * self.k
         self.winner = self._build(1) if len(runs) > 1 else 0
 
@@ -206,8 +260,9 @@ class LoserTree:
         self.nodes[node] = b if not self._less(b, a) else a
         return a if not self._less(b, a) else b
 
-    def __iter__(self) -> Iterator:
-        while self.runs and self.heads[self.winner] is not None:
+    def until(self, end=None) -> Iterator:
+        """Rows in order, those before ``end`` if given."""
+        while self.runs and (head := self.heads[self.winner]) is not None and (end is None or head[0] < end):
             i = self.winner
             run = self.runs[i]
             yield run[self.at[i]]
@@ -220,37 +275,102 @@ class LoserTree:
                 node //= 2
             self.winner = i
 
+    def __iter__(self) -> Iterator:
+        return self.until()
+
+    def rest(self) -> tuple[list[list], list[int]]:
+        """Runs that are not used up, and how far each is read."""
+        left = [(r, a) for r, a in zip(self.runs, self.at, strict=True) if a < len(r)]
+        return [r for r, _ in left], [a for _, a in left]
 
-def merge_runs(index: DataFrame, parts: int | None = None) -> DataFrame:
-    """Runs merged into one history: partitions in order, each ordered by URL key, timestamp and page."""
-    parts = parts or shuffle_partitions(index.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
+def merged(blocks: Iterator[tuple[tuple, bytes]]) -> Iterator[tuple]:
+    """Rows in order of blocks (order of the first row, body) that come by their first rows."""
+    tree = LoserTree([], _order)
+    for first, body in blocks:
+        yield from tree.until(first)
+        runs, at = tree.rest()
+        tree = LoserTree([*runs, _rows(body)], _order, [*at, 0])
+    yield from tree
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """Merged rows of each group of blocks, which come by group; a group's rows must be used before the next is asked for."""
+
+    def rows() -> Iterator[tuple]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[0], []).append(row)
-        for rows in runs.values():
-            keys = list(map(_order, rows))
-            if any(b < a for a, b in zip(keys, keys[1:], strict=False)):  # blocks of a run may arrive in any order
-                rows.sort(key=_order)
-        out = []
-        for row in LoserTree([runs[r] for r in sorted(runs)], _order):
-            out.append(row)
-            if len(out) == 8192:
-                yield _batch(out, INDEX)
-                out = []
-        if out:
-            yield _batch(out, INDEX)
+            for i in range(batch.num_rows):
+                yield tuple(batch.column(c)[i].as_py() for c in range(9))
+
+    for group, found in itertools.groupby(rows(), key=lambda x: x[8]):
+        yield group, merged((x[1:7], x[7]) for x in found)
+
+
+def _longer_runs(level: int):
+    """Groups of runs as one run each."""
 
-    return index.repartitionByRange(parts, "url_key", "captured", F.coalesce("page_id", F.lit(FIRST))).mapInArrow(run, INDEX)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, rows in _by_group(batches):
+            while part := list(itertools.islice(rows, BLOCK)):
+                yield _block_batch(list(_blocks(f"level{level}/{group}", part)))
+
+    return run
+
+
+def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, rows in _by_group(batches):
+        while part := list(itertools.islice(rows, 8192)):
+            yield _batch(part, INDEX)
+
+
+def _dealt(cuts: list[tuple]):
+    """Blocks with the range that they fall into, split where a cut goes through them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                rows = _rows(batch.column(7)[i].as_py())
+                keys = list(map(_order, rows))
+                low, high = bisect_right(cuts, keys[0]), bisect_right(cuts, keys[-1])
+                if low == high:
+                    out.append((*(batch.column(c)[i].as_py() for c in range(8)), low))
+                    continue
+                ends = [bisect_left(keys, c) for c in cuts[low:high]]
+                for r, (a, b) in enumerate(zip([0, *ends], [*ends, len(rows)], strict=True)):
+                    out += [(*x, low + r) for x in _blocks(rows[0][0], rows[a:b])]
+            yield _block_batch(out, ", range int")
+
+    return run
+
+
+def merge_runs(blocks: DataFrame, parts: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
+    """Runs merged into one history: partitions in order, each ordered by URL key, timestamp, page and place."""
+    spark = blocks.sparkSession
+    parts = parts or shuffle_partitions(spark)
+    scratch, level = Scratch(spark, "warc-runs"), 0
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+    while (runs := blocks.agg(F.approx_count_distinct("run", 0.02)).first()[0]) > fan_in:
+        groups = -(-runs // fan_in)
+        grouped = blocks.select(*names, F.pmod(F.xxhash64("run", F.lit(level)), F.lit(groups)).cast("int").alias("group"))
+        longer = grouped.repartition(min(groups, parts), "group").sortWithinPartitions("group", *HEAD).mapInArrow(lean(_longer_runs(level)), BLOCKS)
+        after = scratch.keep(longer, f"level{level}")
+        scratch.drop(blocks)
+        blocks, level = after, level + 1
+    # about SAMPLE block heads a range come to the driver
+    heads = sorted(tuple(r) for r in blocks.select(*HEAD).sample(min(1.0, SAMPLE * parts / max(1, blocks.count())), 7).collect())
+    cuts = sorted({heads[i * len(heads) // parts] for i in range(1, parts)}) if heads else []
+    dealt = blocks.select(names).mapInArrow(lean(_dealt(cuts)), BLOCKS + ", range int")
+    return dealt.repartitionByRange(parts, "range").sortWithinPartitions("range", *HEAD).mapInArrow(lean(_final), INDEX)
 
 
 def history(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write all pages to archives, read them back and give the merged capture history."""
     scratch = Scratch(pages.sparkSession, "warc")
-    index = scratch.keep(read_archives(write_archives(pages, scratch, least_bytes)), "index")
-    return merge_runs(index)
+    archives = write_archives(pages, scratch, least_bytes)
+    runs = scratch.keep(read_archives(archives), "runs")
+    scratch.drop(archives)  # `write_archives` keeps them for callers that want the records
+    return merge_runs(runs)
 
 
 def export(archives: DataFrame, folder: str) -> None:

@@ -420,12 +420,30 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     assert warc.url_key(PAGES[0][1]) == warc.url_key(PAGES[3][1]) == "com,b)/x?a=1&b=2"
     archives = warc.write_archives(pages, Scratch(spark, "w"))
     warc.export(archives, str(tmp_path / "out"))
-    again = warc.read_archives(warc.read_files(spark, str(tmp_path / "out")))
+    again = warc.merge_runs(warc.read_archives(warc.read_files(spark, str(tmp_path / "out"))))
     assert sorted(str(r.page_id) for r in again.collect()) == sorted(str(r[0]) for r in PAGES)
+    # every capture's payload, those of revisits from the response that they name
+    found = Counter((r.page_id, bytes(r.payload)) for r in warc.payloads(archives, again).collect())
+    assert found == Counter((i, (h or "").encode()) for i, _, h in PAGES)
     assert warc.history(pages.limit(0)).count() == 0
     assert warc.history(pages, least_bytes=5).filter("record_type = 'revisit'").count() == 1
 
 
+def test_external_merge(spark, monkeypatch):
+    """Many runs, few at a time: levels of longer runs, then ranges, against a plain sort."""
+    monkeypatch.setattr(warc, "BLOCK", 3)
+    rng = np.random.default_rng(9)
+    rows, blocks = [], []
+    for run in range(23):
+        own = [(f"r{run}", f"k{rng.integers(0, 6)}", f"t{rng.integers(0, 3)}", int(i), 1, "d", "response", None, "u", f"a{run}", 0, int(i), 5) for i in range(rng.integers(1, 14))]
+        rows += own
+        blocks += list(warc._blocks(f"r{run}", sorted(own, key=warc._order)))
+    df = spark.createDataFrame(blocks, warc.BLOCKS).repartition(4)
+    got = [tuple(r)[1:] for p in warc.merge_runs(df, parts=5, fan_in=4).rdd.glom().collect() for r in p]
+    assert got == [r[1:] for r in sorted(rows, key=warc._order)]
+    assert warc.merge_runs(df.limit(0)).count() == 0
+
+
 def test_loser_tree():
     rng = np.random.default_rng(4)
     for k in range(9):
