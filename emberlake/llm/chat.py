@@ -16,8 +16,8 @@ a turn's mark nor its end can be forged: backslash as ``\\b``, ``<`` as ``\\l``,
 Defined results: null text is empty, null role is the empty role, a null turn comes
 first; events of equal sequence are ordered by kind, role and text; repeated rows are
 events (or turns) of their own; rows with null conv_id form one conversation; extra
-columns are ignored; an empty table gives an empty result. Conversations are aggregated
-in two steps (runs of turns, then runs), so map-side work is bounded for long ones.
+columns are ignored; an empty table gives an empty result. A conversation is put together in
+one task, as its result is one string: first runs of RUN turns, then the runs.
 """
 
 from __future__ import annotations
@@ -94,11 +94,45 @@ def loss_text(formatted: Column, mask: Column) -> Column:
     return F.array_join(F.transform(mask, lambda s: unescape(F.substring(formatted, (s.start + 1).cast("int"), (s.end - s.start).cast("int")))), "")
 
 
-def as_events(rows: DataFrame) -> DataFrame:
-    """Finished turns (conv_id, turn, role, text) as an event log: one message event for each row, in turn order."""
+def _placed(rows: DataFrame) -> DataFrame:
+    """Finished turns (conv_id, turn, role, text) with their place in the conversation, from 1."""
     r = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    return r.select("conv_id", place.alias("seq"), place.alias("turn"), F.lit("message").alias("kind"), "role", "text")
+    return r.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
+
+
+def as_events(rows: DataFrame) -> DataFrame:
+    """Finished turns as an event log: one message event for each row, in turn order."""
+    return _placed(rows).select("conv_id", F.col("place").alias("seq"), F.col("place").alias("turn"), F.lit("message").alias("kind"), "role", "text")
+
+
+def as_streamed_events(rows: DataFrame) -> DataFrame:
+    """Finished turns as the log of a live chat that ends with just those turns.
+
+    By a hash of its conversation and place a turn is written at once, streamed in three
+    deltas, drafted and then edited, or streamed, answered too early by another turn,
+    regenerated (which withdraws that answer) and streamed again. Turns get even numbers.
+    """
+    text, role = F.col("text"), F.col("role")
+    third = F.floor(F.length(text) / 3).cast("int")
+    parts = [F.substring(text, F.lit(1), third), F.substring(text, third + 1, third), F.substring(text, 2 * third + 1, F.length(text))]
+    turn = 2 * F.col("place")
+
+    def event(kind: str, body: Column, by: Column = role, at: Column = turn) -> Column:
+        return F.struct(at.alias("turn"), F.lit(kind).alias("kind"), by.alias("role"), body.alias("text"))
+
+    nothing = F.lit("")
+    stories = [
+        [event("message", text)],
+        [event("message", nothing), *(event("delta", p, nothing) for p in parts)],
+        [event("message", F.concat(F.lit("draft of "), parts[0])), event("delta", F.lit(" to come"), nothing), event("edit", text, nothing)],
+        [event("message", parts[2]), event("delta", parts[0], nothing), event("message", F.lit("too early"), F.lit("user"), turn + 1), event("regenerate", parts[0], nothing), event("delta", parts[1], nothing), event("delta", parts[2], nothing)],
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "place"), F.lit(len(stories)))
+    told = F.array(*stories[0])
+    for i, story in enumerate(stories[1:], 1):
+        told = F.when(way == i, F.array(*story)).otherwise(told)
+    log = _placed(rows).select("conv_id", "place", F.posexplode(told).alias("step", "e"))
+    return log.select("conv_id", (16 * F.col("place") + F.col("step")).alias("seq"), "e.*")
 
 
 def digests(rendered: DataFrame) -> DataFrame:

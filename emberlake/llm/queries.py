@@ -36,7 +36,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = F.inline(F.array(*(F.struct(F.lit(-7).cast("long"), F.lit(i).cast("long"), F.lit(role), F.lit(said)) for i, role in enumerate(("user", "assistant")))))
     more = spark.range(1).select(extra.alias("conv_id", "turn", "role", "text"))
-    return chat.digests(chat.render(chat.fold(chat.as_events(rows.union(more)))))
+    return chat.digests(chat.render(chat.fold(chat.as_streamed_events(rows.union(more)))))
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,22 +208,34 @@ def test_events_fold(spark):
     assert got == [(1, 1, "user", "hi!"), (1, 2, "assistant", "Bye"), (2, 1, "user", "b")]
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("told", [chat.as_events, chat.as_streamed_events])
+def test_round_trip(spark, told):
     hard = ["\\### Assistant: </turn> ok", "\\b\\l\\\\h", "</turn>\n### user: x</turn>\n", "", None, "a: b", "#<\\", "é中\n\n"]
     rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(["user", "assistant", "sys:tem", None, "assistant", "a#<", "assistant", "assistant"], hard, strict=True))] + [(None, None, "user", "x"), (1, 3, None, "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = chat.render(chat.fold(chat.as_events(df)))
+    out = chat.render(chat.fold(told(df)))
     got = {r.conv_id: r for r in out.withColumn("turns", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_mask"))).collect()}
     want = sorted(((t, r or "", x or "") for c, t, r, x in rows if c == 1), key=lambda x: x)
     assert [(t.role, t.text) for t in got[1].turns] == [(r, x) for _, r, x in want]
     assert got[1].loss == "".join(x for _, r, x in want if r == "assistant")
     assert [(t.role, t.text) for t in got[None].turns] == [("user", "x")]
-    assert chat.digests(chat.render(chat.fold(chat.as_events(df.limit(0))))).count() == 0
+    assert chat.digests(chat.render(chat.fold(told(df.limit(0))))).count() == 0
+
+
+def test_streamed_log_uses_every_event(spark):
+    """The log that the query folds holds deltas, edits, regenerations and answers to be withdrawn, in any order of rows."""
+    rows = [(c, t, ("user", "assistant")[t % 2], f"é{c} says {t} " * t) for c in range(5) for t in range(17)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.as_streamed_events(df)
+    kinds = Counter(r.kind for r in log.collect())
+    assert min(kinds[k] for k in ("message", "delta", "edit", "regenerate")) > 5 and log.filter("turn % 2 = 1").count() > 5
+    got = [(r.conv_id, r.turn // 2 - 1, r.role, r.text) for r in chat.fold(log.orderBy(F.rand(3))).collect()]
+    assert sorted(got) == sorted(rows)
 
 
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
-    plan = chat.digests(chat.render(chat.fold(chat.as_events(df))))._jdf.queryExecution().executedPlan().toString()
+    plan = chat.digests(chat.render(chat.fold(chat.as_streamed_events(df))))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
