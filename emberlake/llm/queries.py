@@ -13,8 +13,7 @@ from emberlake.llm.tables import table
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlake.llm import media
 
-    docs = table(spark, sf_dir, "documents")
-    return media.read_media(media.with_media(docs))
+    return media.read_media(media.store(media.with_media(table(spark, sf_dir, "documents"))))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

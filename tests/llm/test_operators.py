@@ -550,7 +550,9 @@ def test_media(docs, messy, none):
         r = got[(i, len(raw))]
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
         assert r.media_bytes % 188 == 0 and r.discontinuities == 0
-    assert media.read_media(media.with_media(none)).count() == 0
+    assert media.read_media(media.store(media.with_media(none))).count() == 0
+    again = {(r.doc_id, r.n_bytes): (r.payload_sha256, r.timestamps, r.random_access) for r in media.read_media(media.store(media.with_media(docs))).collect()}
+    assert again == {k: (r.payload_sha256, r.timestamps, r.random_access) for k, r in got.items()}
 
 
 def test_stream_faults():
@@ -561,7 +563,63 @@ def test_stream_faults():
     with pytest.raises(ValueError):
         media.decode(bytes(m))
     s = media.decode(media.encode(b"x" * 40_000))
-    assert s.pts == [90_000 * i for i in range(5)] and len(s.random_access) == 2
+    assert s.pts == [90_000 * i for i in range(5)] and len(s.random_access) == 2 and s.pcr == [0, 360_000]
+
+
+def read_plainly(stream):
+    """A reader of its own, packet by packet: payload, time stamps, clocks and marks of PID 0x100."""
+    pes, out, pts, clocks, marks = b"", b"", [], [], []
+
+    def flush():
+        nonlocal out
+        if pes:
+            n = int.from_bytes(pes[4:6], "big")
+            p = pes[9:14]
+            pts.append(((p[0] >> 1) % 8 << 30) + (p[1] << 22) + (p[2] >> 1 << 15) + (p[3] << 7) + (p[4] >> 1))
+            out += pes[9 + pes[8] : 6 + n]
+
+    for i in range(0, len(stream), 188):
+        x = stream[i : i + 188]
+        if (x[1] % 32 << 8) + x[2] != 0x100:
+            continue
+        at = 4
+        if x[3] & 32:
+            if x[4] and x[5] & 64:
+                marks.append(i // 188)
+            if x[4] and x[5] & 16:
+                clocks.append(int.from_bytes(x[6:10], "big") * 2 + (x[10] >> 7))
+            at += 1 + x[4]
+        if x[1] & 64:
+            flush()
+            pes = b""
+        pes += x[at:]
+    flush()
+    return out, pts, clocks, marks
+
+
+def test_streams_by_a_plain_reader():
+    for n in (64, 128, 7_936, 7_999, 8_000, 8_001, 31_990, 32_000, 100_000):
+        raw = bytes(i * 31 % 251 for i in range(n))
+        m = media.encode(raw)
+        s = media.decode(m)
+        assert read_plainly(m) == (raw, s.pts, s.pcr, s.random_access) and s.payload == raw
+
+
+def test_long_tables():
+    """Sections over several packets, repeated tables and packets of other programs."""
+    others = b"".join(bytes([0, n + 2, 0xE0 | 0x12, n % 256]) for n in range(60))
+    pat = media._section(0, 1, others + bytes([0, 1, 0xE0 | media.PMT_PID >> 8, media.PMT_PID & 0xFF]))
+    cut = [pat[:150], pat[150:]]
+    first = (bytes([0x47, 0x40, 0, 0x30, 183 - 1 - len(cut[0]), 0]) + b"\xff" * (183 - 2 - len(cut[0])) + b"\0" + cut[0])[:188]
+    rest = bytes([0x47, 0, 0, 0x11]) + cut[1].ljust(184, b"\xff")
+    m = media.encode(b"abc" * 64)
+    programs = {pat[i] << 8 | pat[i + 1]: (pat[i + 2] & 0x1F) << 8 | pat[i + 3] for i in range(8, len(pat) - 4, 4)}
+    assert len(first) == len(rest) == 188 and programs[1] == media.PMT_PID
+    got = list(media.sections(np.frombuffer(first + rest, np.uint8).reshape(-1, 188)))
+    assert got == [pat]
+    assert list(media.sections(np.frombuffer(m[:188] * 3, np.uint8).reshape(-1, 188))) == [media._section(0, 1, bytes([0, 1, 0xE0 | media.PMT_PID >> 8, media.PMT_PID & 0xFF]))] * 3
+    null = bytes([0x47, 0x1F, 0xFF, 0x10]).ljust(188, b"\xff")
+    assert media.decode(null + m[:188] + null + m[:188] + m[188:]).payload == b"abc" * 64
 
 
 # ---- quality -----------------------------------------------------------------------
