@@ -2,9 +2,12 @@
 
 A k-gram of bytes is a closed syncmer if the least of its inner s-grams lies at either
 edge. That depends on the k-gram alone, so the same passage gives the same anchors in
-any context. A fingerprint keeps the syncmers of least hash with their places, in order
-of place; two fingerprints are matched by position: shared anchors that keep their order
-count, as a share of the least hashes of both together.
+any context. Each occurrence is an anchor: equal k-grams of a text are told apart by their
+number, so that repeated passages weigh by their length. A fingerprint keeps the anchors of
+least hash, in order of place: at least ANCHORS, and one of SPARSE in long texts, so that
+its density stays the same however long the text. Two fingerprints are matched by position:
+shared anchors that keep their order count, as a share of the least hashes of both together.
+With ``sparse=1`` all anchors are kept and the likeness is exact.
 
 Defined results: null and empty texts have the empty fingerprint; two empty fingerprints
 are alike (1), an empty and another one are not (0); texts too short for a k-gram have
@@ -15,21 +18,24 @@ gives an empty result, and a table of one row is its own next.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.kernels import BYTE_VALUE, U64, mix, powers
+from emberlake.llm.kernels import BYTE_VALUE, U64, lean, mix, powers, small_batches
 from emberlake.llm.scratch import shuffle_partitions
 
-K, S = 24, 8
-ANCHORS = 64  # syncmers of a fingerprint
-MOST_RANGES = 4096
+K, S = 16, 6
+ANCHORS = 64  # anchors of a fingerprint, at least
+SPARSE = 16  # one of so many anchors is kept where that is more
+MOST_RANGES = 4096  # a column expression holds the borders of the ranges
 
 
 def _rolling(buf: np.ndarray, size: int, acc: np.ndarray, inverse: np.ndarray) -> np.ndarray:
@@ -60,47 +66,60 @@ def syncmers(raw: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray
     return mix((acc[at + k] - acc[at]) * q[at] + U64(k)), at
 
 
-def fingerprint(raw: bytes, anchors: int = ANCHORS) -> list[tuple[int, int]]:
-    """(hash, place) of the syncmers of least hash, one for each hash (its first place), in order of place."""
+@dataclass(frozen=True)
+class Fingerprint:
+    """Anchors (hash, place) in order of place; ``limit`` is the largest hash kept, or None where all are."""
+
+    anchors: tuple[tuple[int, int], ...]
+    limit: int | None = None
+
+
+def fingerprint(raw: bytes, sparse: int = SPARSE, least: int = ANCHORS) -> Fingerprint:
     h, at = syncmers(raw)
-    if len(h) > 4 * anchors:  # more than enough: look among the least hashes only
-        few = np.flatnonzero(h <= np.partition(h, 4 * anchors - 1)[4 * anchors - 1])
-        u, first = np.unique(h[few], return_index=True)
-        if len(u) < anchors:
-            u, first = np.unique(h, return_index=True)
-        else:
-            first = few[first]
+    if not len(h):
+        return Fingerprint(())
+    order = np.argsort(h, kind="stable")
+    u = h[order]
+    new = np.ones(len(u), bool)
+    new[1:] = u[1:] != u[:-1]
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(u)), 0))
+    number = (np.arange(len(u)) - lead).astype(U64)
+    key = np.where(number == 0, u, mix(u + number * U64(0x9E3779B97F4A7C15))) >> U64(32)
+    keep = max(least, -(-len(h) // sparse))
+    if keep >= len(h):
+        chosen, limit = np.arange(len(h)), None
     else:
-        u, first = np.unique(h, return_index=True)
-    u, place = u[:anchors], at[first[:anchors]]
-    order = np.argsort(place, kind="stable")
-    return list(zip((u[order] >> U64(32)).tolist(), place[order].tolist(), strict=True))
+        chosen = np.argsort(key, kind="stable")[:keep]
+        limit = int(key[chosen[-1]])
+    place = at[order[chosen]]
+    by = np.argsort(place, kind="stable")
+    return Fingerprint(tuple(zip(key[chosen][by].tolist(), place[by].tolist(), strict=True)), limit)
 
 
-def written(fp: list[tuple[int, int]]) -> str:
-    """Text form: 8 hex digits of hash and the place, by place."""
-    return " ".join(f"{h:08x}@{p:x}" for h, p in fp)
+def written(fp: Fingerprint) -> str:
+    """Text form: the limit, if any, after a tilde, then 8 hex digits of hash and the place of each anchor, by place."""
+    return " ".join([*([] if fp.limit is None else [f"~{fp.limit:08x}"]), *(f"{h:08x}@{p:x}" for h, p in fp.anchors)])
 
 
-def read(text: str) -> list[tuple[int, int]]:
-    return [(int(x[:8], 16), int(x[9:], 16)) for x in text.split()]
+def read(text: str) -> Fingerprint:
+    words = text.split()
+    limit = int(words.pop(0)[1:], 16) if words and words[0][0] == "~" else None
+    return Fingerprint(tuple((int(x[:8], 16), int(x[9:], 16)) for x in words), limit)
 
 
-def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]], anchors: int = ANCHORS) -> float:
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """Shared anchors in equal order, as a share of the least hashes of both together."""
-    if not a or not b:
-        return float(not a and not b)
-    x, y = dict(a), dict(b)
-    both = sorted(x.keys() | y.keys())
+    if not a.anchors or not b.anchors:
+        return float(not a.anchors and not b.anchors)
     # hashes up to here were kept by both sides, had they been there
-    limit = min(max(x) if len(x) >= anchors else both[-1], max(y) if len(y) >= anchors else both[-1])
-    seen = [h for h in both if h <= limit]
-    shared = sorted((x[h], y[h]) for h in seen if h in y and h in x)
+    limit = min((x.limit for x in (a, b) if x.limit is not None), default=1 << 32)
+    x, y = ({h: p for h, p in f.anchors if h <= limit} for f in (a, b))
+    shared = sorted((p, y[h]) for h, p in x.items() if h in y)
     tails: list[int] = []
     for _, place in shared:
         i = bisect_left(tails, place)
         tails[i : i + 1] = [place]
-    return len(tails) / len(seen)
+    return len(tails) / len(x.keys() | y.keys())
 
 
 def edited(text: str, follower: str) -> str:
@@ -112,7 +131,7 @@ def edited(text: str, follower: str) -> str:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _follow(sparse: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order; each is compared with the next one. A guest row is only a neighbour."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -121,10 +140,10 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = None
     for batch in batches:
         for doc_id, text, bucket, guest in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            own = fingerprint((text or "").encode("utf-8", "surrogatepass"))
+            own = fingerprint((text or "").encode("utf-8", "surrogatepass"), sparse)
             if held is not None and part == bucket and not held[3]:
                 body = edited(held[1], text or "").encode("utf-8", "surrogatepass")
-                changed = fingerprint(body)
+                changed = fingerprint(body, sparse)
                 out.append((held[0], len(held[1]), hashlib.sha256(body).hexdigest(), written(held[2]), written(changed), likeness(held[2], changed), likeness(held[2], own)))
             held, part = (doc_id, text or "", own, guest), bucket
             if len(out) >= 512:
@@ -134,13 +153,15 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, sparse: int = SPARSE) -> DataFrame:
     """Fingerprints of each document, of its edited text, and their likenesses.
 
     Rows are cut into ranges of doc_id; the first row of each range also goes, as a guest,
     to the end of the range before it (the very first to the last), so that neighbours
-    meet with one shuffle of the texts. One number a range comes to the driver.
+    meet with one shuffle of the texts. One number a range comes to the driver. ``sparse``
+    of 1 keeps every anchor.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
@@ -161,7 +182,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(-(1 << 63)).alias("key"), goal[F.col("bucket")].cast("int").alias("bucket"), F.lit(True).alias("guest"))
     rows = own.select("doc_id", "text", "key", "bucket", "guest").union(guests)
     rows = rows.withColumn("tie", F.xxhash64("text")).repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc("key"), "tie", "text")
-    return rows.select("doc_id", "text", "bucket", "guest").mapInArrow(_follow, SCHEMA)
+    return rows.select("doc_id", "text", "bucket", "guest").mapInArrow(lean(functools.partial(_follow, sparse)), SCHEMA)
 
 
 def _cuts(d: DataFrame, parts: int) -> list[int]:

@@ -8,7 +8,6 @@ document is a block of its own), held as one byte buffer with offsets. White spa
 from __future__ import annotations
 
 import ctypes
-import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,7 +40,6 @@ def small_batches(spark) -> None:
 def lean(run: Callable) -> Callable:
     """A batch function that gives freed memory back to the system at its end: Python workers outlive their tasks."""
 
-    @functools.wraps(run)
     def wrapped(batches):
         try:
             yield from run(batches)

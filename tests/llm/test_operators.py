@@ -281,6 +281,64 @@ def test_neighbours(docs, messy, none, spark):
 def test_fingerprint_text_form():
     fp = fingerprints.fingerprint(b"some text that is long enough to hold a syncmer or two, surely")
     assert fingerprints.read(fingerprints.written(fp)) == fp and fingerprints.likeness(fp, fp) == 1
+    long = fingerprints.fingerprint(np.random.default_rng(2).integers(97, 123, 90_000, dtype=np.uint8).tobytes())
+    assert long.limit is not None and len(long.anchors) > 500 and fingerprints.read(fingerprints.written(long)) == long
+
+
+def brute_likeness(a, b):
+    """From the definition: closed syncmers by hand, numbered repeats, longest rising run, over all anchors."""
+    k, s = fingerprints.K, fingerprints.S
+
+    def anchors(raw):
+        if len(raw) < k:
+            return {(raw, 0): 0} if raw else {}
+        p, _ = fingerprints.powers(len(raw) + 1)
+        small = {}
+        for i in range(len(raw) - s + 1):
+            x = raw[i : i + s]
+            small[i] = int(fingerprints._rolling(np.frombuffer(x, np.uint8), s, np.concatenate([[np.uint64(0)], np.cumsum(fingerprints.BYTE_VALUE[np.frombuffer(x, np.uint8)] * p[:s])]), fingerprints.powers(9)[1])[0])
+        out, seen = {}, Counter()
+        for i in range(len(raw) - k + 1):
+            inner = [small[j] for j in range(i, i + k - s + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                g = raw[i : i + k]
+                out[(g, seen[g])] = i
+                seen[g] += 1
+        return out
+
+    x, y = anchors(a), anchors(b)
+    if not x or not y:
+        return float(not x and not y)
+    both = sorted((x[g], y[g]) for g in x if g in y)
+    best = []
+    for i, (_, p) in enumerate(both):
+        best.append(1 + max([best[j] for j in range(i) if both[j][1] < p], default=0))
+    return max(best, default=0) / len(x.keys() | y.keys())
+
+
+def test_likeness_by_brute_force(messy):
+    import random
+
+    r = random.Random(8)
+    texts = [(t or "").encode()[:900] for _, t, *_ in messy] + [b"same line again\n" * 30, b"same line again\n" * 20 + b"and then something else " * 9]
+    texts += [b" ".join(r.choice([b"ka", b"lo", b"miren", b"tu"]) for _ in range(120)) for _ in range(3)]
+    for a in texts:
+        for b in r.sample(texts, 5):
+            assert fingerprints.likeness(fingerprints.fingerprint(a, 1), fingerprints.fingerprint(b, 1)) == brute_likeness(a, b)
+
+
+def test_sparse_likeness_is_close():
+    """Long texts of which a known share is replaced: the sparse likeness against the exact one."""
+    rng = np.random.default_rng(6)
+    wrong = []
+    for n in (3_000, 20_000, 60_000):
+        for share in (0.1, 0.33, 0.6):
+            a = rng.integers(97, 123, n, dtype=np.uint8).tobytes()
+            b = a[: int(n * (1 - share))] + rng.integers(97, 123, int(n * share), dtype=np.uint8).tobytes()
+            exact, near = (fingerprints.likeness(fingerprints.fingerprint(a, s), fingerprints.fingerprint(b, s)) for s in (1, fingerprints.SPARSE))
+            assert abs(exact - (1 - share) / (1 + share)) < 0.03
+            wrong.append(abs(exact - near))
+    assert max(wrong) < 0.2 and sum(wrong) / len(wrong) < 0.06
 
 
 # ---- substrings --------------------------------------------------------------------
