@@ -38,10 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm.kernels import U64, lean, mix, powers, small_batches
-from emberlake.llm.scratch import Scratch, shuffle_partitions
+from emberlake.llm.scratch import Scratch
 
 CAPACITY, END_ID = 1024, 2
 FAN_IN = 16  # partitions whose left-overs meet in the next round
+PER_TASK = 200_000  # pieces that a task packs, about: bounds its memory, and small inputs are packed as one
 MOST_CACHED = 1 << 19  # distinct pieces of text remembered by a worker
 
 # ---- tokens ------------------------------------------------------------------------
@@ -337,7 +338,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     whole = scratch.keep(rows.select(F.monotonically_increasing_id().alias("row"), *names, *(["ids"] if has_ids else [])), "pieces", "zstd")
     names = ["row", *names]
     pool = whole.select(names)
-    parts, level, done = shuffle_partitions(spark), 0, None
+    parts, level, done = max(1, -(-pool.count() // PER_TASK)), 0, None
     while True:
         deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(parts * 64))
         got = scratch.keep(pool.repartition(parts, deal).mapInArrow(_pack(capacity, level, parts == 1), "row long, " + PACKED), f"round{level}")
