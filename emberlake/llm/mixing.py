@@ -156,12 +156,12 @@ def mixed_documents(docs: DataFrame, *schedules: Knots, **how) -> DataFrame:
     equal = Window.partitionBy("row")
     m = m.withColumn("equal", F.count(F.lit(1)).over(equal)).withColumn("tie", F.row_number().over(equal.orderBy("before", "taken")))
     dealt = m.withColumn("of", F.explode(_copies(schedules or SCHEDULES))).filter("2 * of.words >= size")
-    dealt = scratch.keep(dealt.select(F.col("row").alias("_row"), F.col("tie").alias("_tie"), "equal", F.col("key").alias("_key"), F.col("of.copy").alias("_copy"), F.col("of.position").alias("_at")), "dealt")
-    known = docs.withColumn("_row", row_key(*ROW))
-    alone, several = dealt.filter("equal = 1").drop("equal", "_tie"), dealt.filter("equal > 1").drop("equal")
-    # only rows that have equals are numbered, so other texts travel once less
-    number = F.row_number().over(Window.partitionBy("_row").orderBy(F.xxhash64(*docs.columns)))
-    numbered = known.join(several.select("_row").distinct(), "_row", "left_semi").withColumn("_tie", number)
-    out = known.join(alone, "_row").unionByName(numbered.join(several, ["_row", "_tie"]).drop("_tie"))
-    by = "_at", "_key", "_copy"
-    return out.repartitionByRange(*by).sortWithinPartitions(*by).select(docs.columns)
+    dealt = scratch.keep(dealt.select("row", "tie", "equal", "key", F.col("of.copy").alias("copy"), F.col("of.position").alias("at")), "dealt")
+    known = docs.select(F.struct("*").alias("whole"), row_key(*ROW).alias("row"))  # no name of the table meets those used here
+    alone, several = dealt.filter("equal = 1").drop("equal", "tie"), dealt.filter("equal > 1").drop("equal")
+    out = known.join(alone.hint("merge"), "row").select("whole", "at", "key", "copy")
+    if not several.isEmpty():  # only rows that have equals are numbered; where there are none texts travel once less
+        number = F.row_number().over(Window.partitionBy("row").orderBy(F.xxhash64("whole")))
+        numbered = known.join(several.select("row").distinct().hint("merge"), "row", "left_semi").withColumn("tie", number)
+        out = out.union(numbered.join(several, ["row", "tie"]).select("whole", "at", "key", "copy"))
+    return out.repartitionByRange("at", "key", "copy").sortWithinPartitions("at", "key", "copy").select("whole.*")

@@ -622,14 +622,14 @@ def keep_one(docs: DataFrame, k: int = 5, share: int = 80, lower: bool = True, s
     no group and all stay.
     """
     slim, every = _groups(docs, k, share, lower, sketch_bits, frequent)
-    kept = every.groupBy("group").agg(F.min("pick").alias("pick")).select(F.col("pick.row").alias("_row"), F.lit(True).alias("_kept"))
-    rows = slim.filter("sid is not null").groupBy(F.col("row").alias("_row")).agg(F.count(F.lit(1)).alias("equal"))
-    fate = rows.join(kept, "_row", "left").filter("_kept is null or equal > 1").select("_row", "_kept")
+    kept = every.groupBy("group").agg(F.min("pick").alias("pick")).select("pick.row", F.lit(True).alias("kept"))
+    rows = slim.filter("sid is not null").groupBy("row").agg(F.count(F.lit(1)).alias("equal"))
+    fate = rows.join(kept, "row", "left").filter("kept is null or equal > 1").select("row", "kept")
     fate = Scratch(docs.sparkSession, "ngram").keep(fate, "fate")
-    known = docs.withColumn("_row", _row())
-    out = known.join(fate.hint("merge"), "_row", "left_anti").select(docs.columns)
-    if fate.filter("_kept").isEmpty():  # no rows are equal: texts travel once
-        return out
-    number = F.row_number().over(Window.partitionBy("_row").orderBy(F.xxhash64(*docs.columns)))
-    repeated = known.join(fate.filter("_kept").hint("merge"), "_row", "left_semi").withColumn("_nth", number).filter("_nth = 1")
-    return out.unionByName(repeated.select(docs.columns))
+    known = docs.select(F.struct("*").alias("whole"), _row().alias("row"))  # no name of the table meets those used here
+    out = known.join(fate.hint("merge"), "row", "left_anti").select("whole")
+    if not fate.filter("kept").isEmpty():  # where no rows are equal texts travel once
+        number = F.row_number().over(Window.partitionBy("row").orderBy(F.xxhash64("whole")))
+        repeated = known.join(fate.filter("kept").hint("merge"), "row", "left_semi").withColumn("nth", number).filter("nth = 1")
+        out = out.union(repeated.select("whole"))
+    return out.select("whole.*")

@@ -43,8 +43,8 @@ _high = np.arange(256) >= 128
 _mark = ~(_upper | _lower | _digit | _high)
 
 
-def shapes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """A number for the look of each word."""
+def shapes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """A number for the look of each word; repeats count within a document only."""
 
     def count(table: np.ndarray) -> np.ndarray:
         acc = np.zeros(len(buf) + 1, np.int32)
@@ -61,8 +61,8 @@ def shapes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndar
     out = out * 2 + _upper[first]
     out = out * 4 + np.minimum((ends - starts) // 4, 3)
     again = np.zeros(len(words), np.int64)
-    again[1:] = words[1:] == words[:-1]
-    again[2:] |= words[2:] == words[:-2]
+    again[1:] = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
+    again[2:] |= (words[2:] == words[:-2]) & (doc[2:] == doc[:-2])
     return mix(out.astype(U64) * U64(2) + again.astype(U64) + COEF[40])
 
 
@@ -74,8 +74,8 @@ def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         n = np.diff(first)
         words = span_hashes(buf, starts, ends)
         folded = span_hashes(LOWER[buf], starts, ends)
-        look = shapes(buf, starts, ends, words)
         doc = np.repeat(np.arange(j - i), n)
+        look = shapes(buf, starts, ends, words, doc)
         ids, docs = [np.minimum(np.log2(n + 1), 20).astype(np.int64)], [np.arange(j - i)]
         for view, most in ((folded, 2), (look, 3)):
             acc = np.zeros(len(view), U64)

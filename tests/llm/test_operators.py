@@ -702,3 +702,114 @@ def test_quality(spark, docs, none):
     alone = quality.fit(df, labels.filter("quality = 1"))
     assert alone.scores(pa.array(["x", None]))[0] > 0.9
     assert quality.fit(df, labels.limit(0)).scores(pa.array([""]))[0] == 0.5
+
+
+# ---- names, nulls and nothing ------------------------------------------------------
+
+CLASHES = "row sid n whole at key copy copies copy_no tie equal d1 dig doc body slot bucket guest page_id url size before taken kept fate nth score length ids media place run turn_no label root node word source_no of position".split()
+
+
+@pytest.fixture(scope="module")
+def crowded(docs):
+    """The messy table with a column under every name that some operator uses inside."""
+    return docs.select("*", *(F.lit(i).alias(name) for i, name in enumerate(CLASHES)))
+
+
+def same(a, b, columns):
+    return Counter(map(str, a.select(columns).collect())) == Counter(map(str, b.select(columns).collect()))
+
+
+def test_clashing_names(spark, docs, crowded):
+    from emberlake.llm.queries import table  # noqa: F401  the queries read plain tables; operators take any
+
+    path = PATH
+    operators = {
+        "join": lambda d: ngram_join.link_components(d, 4, 85),
+        "secrets": secrets.find_secrets,
+        "fingerprints": fingerprints.with_next,
+        "repeats": substrings.remove_repeats,
+        "packing": lambda d: packing.pieces(d, path),
+        "laps": mixing.laps,
+        "media": lambda d: media.read_media(media.with_media(d)),
+    }
+    for name, run in operators.items():
+        plain = run(docs)
+        assert same(run(crowded), plain, plain.columns), name
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 13)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    assert quality.fit(crowded, labels.withColumn("text", F.lit("x")).withColumn("y", F.lit(9))).bias == model.bias
+    assert same(quality.score(crowded, model), quality.score(docs, model), ["doc_id", "score"])
+    for name, stage in {"keep_good": lambda d: quality.keep_good(d, model), "keep_one": ngram_join.keep_one, "redacted": secrets.redacted, "mixed": mixing.mixed_documents}.items():
+        out = stage(crowded)
+        assert out.columns == crowded.columns and same(out, stage(docs), docs.columns), name
+        assert out.select(*CLASHES).distinct().collect() == [tuple(range(len(CLASHES)))], name
+
+
+def test_stages_on_nothing_and_on_nulls(spark, none):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 3, none.schema)
+    model = quality.fit(none, labels)
+    for stage in (lambda d: quality.keep_good(d, model), ngram_join.keep_one, secrets.redacted):
+        assert stage(none).count() == 0 and stage(none).columns == none.columns
+        assert stage(nulls).count() == 3  # a text without words is in no group and holds no secret
+    assert mixing.mixed_documents(none).count() == 0 and mixing.mixed_documents(nulls).count() == 0  # no words, nothing to take
+
+
+def test_rows_that_share_an_id(spark):
+    """Decisions are by row: of (1, A), (7, A), (7, B) only the copy of A goes; of equal rows one stays, null ids included."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (7, a), (7, b), (2, c), (2, c), (None, c), (None, "x " * 30), (None, "x " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, ngram_join.keep_one(df).collect())) == Counter([(1, a), (7, b), (2, c), (None, "x " * 30)])
+    m = spark.createDataFrame([(7, a, "s"), (7, b, "s"), (None, c, None), (None, c, None)], "doc_id long, text string, source string")
+    out = Counter(map(tuple, mixing.mixed_documents(m).collect()))
+    assert set(out) == {(7, a, "s"), (7, b, "s"), (None, c, None)} and all(n <= 4 for n in out.values())
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
+    twice = spark.createDataFrame([(7, a), (7, b), (8, c), (8, a)], "doc_id long, text string")
+    assert (quality.fit(twice, labels).weights == quality.fit(twice.orderBy(F.desc("text")), labels).weights).all()
+
+
+def plain_ftrl(rows, labels, epochs):
+    """The textbook update, weight by weight, over dictionaries."""
+    from math import exp, sqrt
+
+    z, s, zb, sb = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[i] - (quality.L1 if z[i] > 0 else -quality.L1)) / ((quality.BETA + sqrt(s.get(i, 0.0))) / quality.ALPHA + quality.L2)
+
+    for _ in range(epochs):
+        for row, y in zip(rows, labels, strict=True):
+            w = {i: weight(i) for i in row}
+            bias = -zb / ((quality.BETA + sqrt(sb)) / quality.ALPHA)
+            p = 1 / (1 + exp(-max(-40.0, min(40.0, bias + sum(w[i] * v for i, v in row.items())))))
+            for i, v in row.items():
+                g = (p - y) * v
+                before = s.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (sqrt(before + g * g) - sqrt(before)) / quality.ALPHA * w[i]
+                s[i] = before + g * g
+            g = p - y
+            zb += g - (sqrt(sb + g * g) - sqrt(sb)) / quality.ALPHA * bias
+            sb += g * g
+    return -zb / ((quality.BETA + sqrt(sb)) / quality.ALPHA), {i: weight(i) for i in z}
+
+
+def test_classifier_by_a_plain_twin():
+    import random
+
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["good", "plain", "clear", "BUY", "now!!", "cheap", "é1"][2 * (i % 2) :]) for _ in range(r.randint(0, 30))) for i in range(60)]
+    labels = [1 - i % 2 for i in range(60)]
+    rows = []
+    for t in texts:
+        ((_, _, ids, _, n),) = quality.features(pa.array([t]))
+        row = Counter(ids.tolist())
+        rows.append({i: 1.0 if i < 32 else c * float(np.float32(quality.SCALE / max(1, n[0]))) for i, c in row.items()})
+    bias, weights = plain_ftrl(rows, labels, quality.EPOCHS)
+    model = quality.train(texts, labels)
+    assert abs(model.bias - bias) < 1e-4 and all(abs(float(model.weights[i]) - w) < 1e-4 for i, w in weights.items())
+    scores = model.scores(pa.array(texts))
+    for x, row in zip(scores, rows, strict=True):
+        assert abs(x - 1 / (1 + np.exp(-(bias + sum(weights.get(i, 0.0) * v for i, v in row.items()))))) < 1e-3
