@@ -612,6 +612,8 @@ def _groups(docs: DataFrame, k: int, share: int, lower: bool, sketch_bits: int |
     label = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = named.join(label, "root").select("sid", "root", "component_id")
     every = sets.join(classes, "sid", "left").select("sid", F.coalesce("component_id", "pick.doc_id").alias("component_id"), F.coalesce("root", "sid").alias("group"), "pick")
+    every = scratch.keep(every, "every")
+    scratch.drop(sets, edges, comps, open_, final)  # ``slim`` and ``every`` are what callers read
     return slim, every
 
 

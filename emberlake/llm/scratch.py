@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is set only where none is named."""
+    """The folder named by ``spark.checkpoint.dir``; where none is named, a local one if all runs in this process, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not jsc.isLocal():
+            raise RuntimeError("executors share no local folder: name a shared one in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="emberlake-"))
     return jsc.getCheckpointDir().get()
 
