@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -95,11 +96,12 @@ def span_tree(spans: DataFrame, most_levels: int = 1 << 20) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder; a local one only where all runs in this process."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc._jsc.sc().isLocal():
+            raise RuntimeError("executors share no local folder: name a shared one in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="emberlake-"))
     return df.checkpoint()
 
