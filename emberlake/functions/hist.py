@@ -11,6 +11,11 @@ BUCKETS = "array<struct<lo:double,hi:double,cnt:bigint>>"
 VECTOR = "array<bigint>"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: the optimizer would put a copy wherever it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def linear(lo: Column, hi: Column, before: Column, cnt: Column, target: Column) -> Column:
     """Straight-line position of ``target`` in a bucket of ``cnt`` observations; an empty bucket gives its low edge."""
     return F.when(F.coalesce(cnt, F.lit(0)) == 0, lo).otherwise(lo + (hi - lo) * (target - before) / cnt)
@@ -65,9 +70,12 @@ def total(buckets: Column) -> Column:
     return F.aggregate(buckets, F.lit(0).cast("long"), lambda s, b: s + F.coalesce(b.cnt, F.lit(0)))
 
 
-def quantile(buckets: Column, q: float, kernel=linear) -> Column:
-    """Value at rank q: one pass that carries the running count and stops growing its answer at the first bucket that reaches it."""
-    n = total(buckets)
+def quantile(buckets: Column, q: float, kernel=linear, n: Column | None = None) -> Column:
+    """Value at rank q of ``n`` (by default all) observations: one pass that carries the running count and takes its answer at the first bucket that reaches it."""
+    return let(buckets, lambda b: let(total(b) if n is None else n, lambda m: _at_rank(b, q, kernel, m)))
+
+
+def _at_rank(buckets: Column, q: float, kernel, n: Column) -> Column:
     target = F.lit(float(q)) * n
     start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("value"))
 
@@ -79,6 +87,11 @@ def quantile(buckets: Column, q: float, kernel=linear) -> Column:
     return F.when(n > 0, F.aggregate(buckets, start, step).value)
 
 
+def all_quantiles(buckets: Column, qs: Sequence[float], kernel=linear) -> Column:
+    """Map from each q to its value; buckets and their total are made once."""
+    return let(buckets, lambda b: let(total(b), lambda n: quantiles(lambda q: _at_rank(b, q, kernel, n), qs)))
+
+
 def explicit_quantile(bounds: Column, counts: Column, q: float) -> Column:
     ok = (F.size(bounds) > 0) & (F.size(counts) > 0)
     return F.when(ok, quantile(explicit_buckets(bounds, counts), q, linear))
@@ -97,14 +110,16 @@ def quantiles(of, qs: Sequence[float]) -> Column:
 
 def extents(buckets: Column) -> Column:
     """Lowest and highest edge of the buckets that hold something; null if none does."""
-    full = F.filter(buckets, lambda b: b.cnt > 0)
 
     def finite(x: Column) -> Column:
         return F.abs(x) < float("inf")
 
-    low = F.array_min(F.transform(full, lambda b: F.when(finite(b.lo), b.lo).otherwise(0.0)))
-    high = F.array_max(F.transform(full, lambda b: F.when(finite(b.hi), b.hi).otherwise(b.lo)))
-    return F.when(F.size(full) > 0, F.struct(low.alias("min"), high.alias("max")))
+    def of(full: Column) -> Column:
+        low = F.array_min(F.transform(full, lambda b: F.when(finite(b.lo), b.lo).otherwise(0.0)))
+        high = F.array_max(F.transform(full, lambda b: F.when(finite(b.hi), b.hi).otherwise(b.lo)))
+        return F.when(F.size(full) > 0, F.struct(low.alias("min"), high.alias("max")))
+
+    return let(F.filter(buckets, lambda b: b.cnt > 0), of)
 
 
 def downscaled_offset(offset: Column, levels: Column) -> Column:
@@ -147,15 +162,19 @@ def pad_left(counts: Column, offset: Column, target: Column) -> Column:
 
 def add_vectors(vectors: Column) -> Column:
     """Element-wise sum of count arrays, short ones padded with zeros; null for none."""
-    some = F.filter(vectors, lambda v: v.isNotNull())
-    added = F.aggregate(some, F.array().cast(VECTOR), lambda s, v: F.zip_with(s, v, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))))
-    return F.when(F.size(some) > 0, added)
+
+    def added(some: Column) -> Column:
+        total = F.aggregate(some, F.array().cast(VECTOR), lambda s, v: F.zip_with(s, v, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))))
+        return F.when(F.size(some) > 0, total)
+
+    return let(F.filter(vectors, lambda v: v.isNotNull()), added)
 
 
 def subtract_vectors(a: Column, b: Column) -> Column:
     """a - b; a alone without b; null if any element falls (a restart)."""
     d = F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0)))
-    return F.when(a.isNull(), F.lit(None).cast(VECTOR)).when(b.isNull(), a).otherwise(F.when(F.coalesce(F.array_min(d), F.lit(0)) >= 0, d))
+    least = let(d, lambda v: F.when(F.coalesce(F.array_min(v), F.lit(0)) >= 0, v))
+    return F.when(a.isNull(), F.lit(None).cast(VECTOR)).when(b.isNull(), a).otherwise(least)
 
 
 def zero_cutoff(threshold: Column, scale: Column) -> Column:
@@ -172,6 +191,11 @@ def zero_cutoff(threshold: Column, scale: Column) -> Column:
 
 def fold_below(counts: Column, offset: Column, cutoff: Column) -> Column:
     """struct(counts, offset, folded): buckets up to the cutoff leave the array, their sum is folded."""
+    given = F.struct(counts.alias("counts"), offset.cast("long").alias("offset"), cutoff.alias("cutoff"))
+    return let(given, lambda g: _folded(g.counts, g.offset, g.cutoff))
+
+
+def _folded(counts: Column, offset: Column, cutoff: Column) -> Column:
     n = F.size(counts).cast("long")
     drop = F.least(cutoff - offset + 1, n)
     gone = F.slice(counts, 1, F.greatest(drop, F.lit(0)).cast("int"))
@@ -179,7 +203,7 @@ def fold_below(counts: Column, offset: Column, cutoff: Column) -> Column:
     folded = F.aggregate(gone, F.lit(0).cast("long"), lambda s, c: s + c)
     keep = F.coalesce(n, F.lit(0)) <= 0
     keep = keep | cutoff.isNull() | (cutoff < offset)
-    same = F.struct(counts.alias("counts"), offset.cast("long").alias("offset"), F.lit(0).cast("long").alias("folded"))
+    same = F.struct(counts.alias("counts"), offset.alias("offset"), F.lit(0).cast("long").alias("folded"))
     return F.when(keep, same).otherwise(F.struct(left.alias("counts"), (offset + drop).cast("long").alias("offset"), folded.alias("folded")))
 
 

@@ -265,18 +265,21 @@ def merge_exponential(points: DataFrame, cumulative: bool = False, by: Sequence[
         F.coalesce(F.first("positive_target", True), F.lit(0)).alias("positive_bucket_offset"), F.coalesce(F.first("negative_target", True), F.lit(0)).alias("negative_bucket_offset"),
         hist.add_vectors(F.collect_list("positive_p")).alias("positive_bucket_counts"), hist.add_vectors(F.collect_list("negative_p")).alias("negative_bucket_counts"),
     )
-    folded = F.col("zero_count")
-    for side in ("positive", "negative"):
-        m = m.withColumn(side, hist.zero_fold(F.col(f"{side}_bucket_counts"), F.col(f"{side}_bucket_offset"), F.col("zero_threshold"), F.col("scale")))
-        m = m.withColumn(f"{side}_bucket_counts", F.col(f"{side}.counts")).withColumn(f"{side}_bucket_offset", F.col(f"{side}.offset"))
-        folded = folded + F.col(f"{side}.folded")
-    return m.withColumn("zero_count", folded).drop("positive", "negative")
+    sides = [hist.zero_fold(F.col(f"{x}_bucket_counts"), F.col(f"{x}_bucket_offset"), F.col("zero_threshold"), F.col("scale")).alias(x) for x in ("positive", "negative")]
+    m = m.select("*", once(F.struct(*sides)).alias("sides"))
+    changed = {f"{x}_bucket_{y}": F.col(f"sides.{x}.{y}") for x in ("positive", "negative") for y in ("counts", "offset")}
+    return m.withColumns(changed | {"zero_count": F.col("zero_count") + F.col("sides.positive.folded") + F.col("sides.negative.folded")}).drop("sides")
+
+
+def once(value: Column) -> Column:
+    """A generator of the one value: projections above it are not merged with those below, where each use would make the value again."""
+    return F.explode(F.array(value))
 
 
 def with_extents(merged: DataFrame, exponential: bool) -> DataFrame:
     """Adds min and max as the merged buckets tell them."""
     b = _buckets(exponential)
-    return merged.withColumn("e", hist.extents(b)).withColumn("min", F.col("e.min")).withColumn("max", F.col("e.max")).drop("e")
+    return merged.select("*", once(hist.extents(b)).alias("e")).withColumn("min", F.col("e.min")).withColumn("max", F.col("e.max")).drop("e")
 
 
 def _buckets(exponential: bool) -> Column:
@@ -287,8 +290,9 @@ def _buckets(exponential: bool) -> Column:
 
 def with_quantiles(merged: DataFrame, qs: Sequence[float], exponential: bool) -> DataFrame:
     """Adds a map from q to value."""
-    kernel = hist.log_linear if exponential else hist.linear
-    return merged.withColumn("quantiles", hist.quantiles(lambda q: hist.quantile(_buckets(exponential), q, kernel), qs))
+    if not qs:
+        return merged.withColumn("quantiles", hist.quantiles(None, ()))
+    return merged.select("*", once(hist.all_quantiles(_buckets(exponential), qs, hist.log_linear if exponential else hist.linear)).alias("quantiles"))
 
 
 def quantile_lines(with_q: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+DEEP = 8  # levels from which chains are measured against the size of their trace
+
+
 def within(column: str | Column, start: int | None, end: int | None) -> Column:
     """Inclusive on both ends; an open end is None."""
     c = F.col(column) if isinstance(column, str) else column
@@ -75,24 +78,23 @@ def span_tree(spans: DataFrame, most_levels: int = 1 << 20) -> DataFrame:
     jumping: each round joins every open span to its current ancestor, whose own partial
     path it takes over, so a tree of depth d needs about log2(d) joins, not d. Spans on or
     under a cycle never reach a root: after enough rounds for the longest possible chain
-    they stay out (see `salvage`). Lineage is cut between rounds by checkpoint().
+    they stay out (see `salvage`). Only open spans are carried on, those that are done are
+    written once and looked up. Lineage is cut between rounds by checkpoint().
     """
-    now = ranked(spans).select("trace_id", "span_id", F.col("up").alias("anc"), F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth"), F.array("rank").alias("path"))
-    now = _cut(now)
-    reach = 1
-    while reach < most_levels:
-        open_ = now.filter("anc is not null")
-        if open_.isEmpty():
-            break
-        done = now.filter("anc is null")
-        up = now.select("trace_id", F.col("span_id").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
+    first = ranked(spans).select("trace_id", "span_id", F.col("up").alias("anc"), F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth"), F.array("rank").alias("path"))
+    known = _cut(first)
+    done, open_ = known.filter("anc is null"), known.filter("anc is not null")
+    reach, size = 1, None
+    while reach < most_levels and not open_.isEmpty():
+        up = done.unionByName(open_).select("trace_id", F.col("span_id").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
         step = open_.join(up, ["trace_id", "anc"]).select("trace_id", "span_id", F.col("anc2").alias("anc"), (F.col("depth") + F.col("depth2")).alias("depth"), F.concat("path2", "path").alias("path"))
-        # a chain longer than its trace has spans goes round in a cycle
-        size = now.groupBy("trace_id").agg(F.count(F.lit(1)).alias("size"))
-        step = step.join(size, "trace_id").filter("anc is null or depth < size").drop("size")
-        after = _cut(done.unionByName(step))
-        now, reach = after, reach * 2
-    return now.filter("anc is null").select("trace_id", "span_id", "depth", "path")
+        if reach >= DEEP:  # a chain longer than its trace has spans goes round in a cycle
+            size = _cut(spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("size"))) if size is None else size
+            step = step.join(size, "trace_id").filter("anc is null or depth < size").drop("size")
+        step = _cut(step)
+        done, open_ = done.unionByName(step.filter("anc is null")), step.filter("anc is not null")
+        reach *= 2
+    return done.select("trace_id", "span_id", "depth", "path")
 
 
 def _cut(df: DataFrame) -> DataFrame:
