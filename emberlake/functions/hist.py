@@ -160,6 +160,17 @@ def pad_left(counts: Column, offset: Column, target: Column) -> Column:
     return F.concat(F.array_repeat(F.lit(0).cast("long"), n), counts)
 
 
+def dense(cells: Column) -> Column:
+    """Counts of sorted cells (idx, c) with zeros in the gaps; null for none."""
+
+    def filled(x: Column) -> Column:
+        gaps = F.transform(x, lambda a, i: F.array_repeat(F.lit(0).cast("long"), F.when(i > 0, a.idx - F.get(x, i - 1).idx - 1).otherwise(0).cast("int")))
+        return F.flatten(F.zip_with(gaps, x, lambda g, a: F.concat(g, F.array(a.c))))
+
+    whole = F.try_element_at(cells, F.lit(-1)).idx - F.get(cells, F.lit(0)).idx + 1 == F.size(cells)
+    return F.when(F.size(cells) > 0, F.when(whole, F.transform(cells, lambda a: a.c)).otherwise(filled(cells)))
+
+
 def add_vectors(vectors: Column) -> Column:
     """Element-wise sum of count arrays, short ones padded with zeros; null for none."""
 

@@ -214,9 +214,9 @@ def carriers(points: DataFrame, exemplars: DataFrame, most: int = CARRIERS) -> D
 # ---- histograms --------------------------------------------------------------------
 
 
-def _aligned(points: DataFrame, cumulative: bool, by: Sequence[str]) -> DataFrame:
-    """Exponential points at one scale and one offset: of the whole series if readings are differenced, else of the group."""
-    w = Window.partitionBy("series_id") if cumulative else Window.partitionBy(*by)
+def _aligned(points: DataFrame) -> DataFrame:
+    """Exponential points of each series at one scale and one offset."""
+    w = Window.partitionBy("series_id")
     p = points.withColumn("target_scale", F.min("scale").over(w))
     levels = F.col("scale") - F.col("target_scale")
     for side in ("positive", "negative"):
@@ -228,6 +228,23 @@ def _aligned(points: DataFrame, cumulative: bool, by: Sequence[str]) -> DataFram
     return p.drop("positive_d", "negative_d")
 
 
+def _merged_cells(points: DataFrame, head: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Dense count arrays of both sides at the scale of ``head``.
+
+    Cells are summed at their own scale first, then at the group's: both sums are partially
+    aggregated, so a group of very many points costs no task more than its distinct cells.
+    """
+    sides = F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"{x}_bucket_offset").cast("long").alias("offset"), F.col(f"{x}_bucket_counts").alias("counts")) for x in ("positive", "negative")))
+    each = points.select(*by, "scale", F.explode(sides).alias("s")).select(*by, "scale", "s.side", "s.offset", F.posexplode("s.counts").alias("pos", "c"))
+    own = each.groupBy(*by, "side", "scale", (F.col("offset") + F.col("pos")).alias("idx")).agg(F.sum("c").alias("c"))
+    target = head.select(*by, F.col("scale").alias("target_scale"))
+    cells = own.join(target, list(by)).groupBy(*by, "side", hist.downscaled_offset(F.col("idx"), F.col("scale") - F.col("target_scale")).alias("idx")).agg(F.sum("c").alias("c"))
+    arrays = cells.groupBy(*by).pivot("side", ["positive", "negative"]).agg(F.array_sort(F.collect_list(F.struct("idx", "c"))))
+    for side in ("positive", "negative"):
+        arrays = arrays.withColumn(f"{side}_bucket_offset", F.get(F.col(side), F.lit(0)).idx).withColumn(f"{side}_bucket_counts", hist.dense(F.col(side))).drop(side)
+    return arrays
+
+
 def _activity(points: DataFrame, vectors: Sequence[str], scalars: Sequence[str]) -> DataFrame:
     """Cumulative readings as the activity of their interval. Scalars restart where the count falls, a vector where any element does."""
     p = points
@@ -256,15 +273,16 @@ def merge_explicit(points: DataFrame, cumulative: bool = False, by: Sequence[str
 
 def merge_exponential(points: DataFrame, cumulative: bool = False, by: Sequence[str] = ("series_id", "bucket_start")) -> DataFrame:
     """Exact merge of exponential histograms: coarsest scale, common offset, sums, then the zero threshold settles what is zero."""
-    p = _aligned(points, cumulative, by)
-    if cumulative:
-        p = _activity(p, ("positive_p", "negative_p"), ("count", "sum", "zero_count"))
-    m = p.groupBy(*by).agg(
-        F.max(F.struct("timestamp", "id"))["id"].alias("id"), F.min("start_time").alias("start_time"), F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("target_scale").alias("scale"),
+    p = points
+    if cumulative:  # readings are differenced along their series, at one scale and offset
+        p = _activity(_aligned(points), ("positive_p", "negative_p"), ("count", "sum", "zero_count"))
+        p = p.withColumns({"scale": F.col("target_scale")} | {f"{x}_bucket_{y}": F.col(f"{x}_{z}") for x in ("positive", "negative") for y, z in (("counts", "p"), ("offset", "target"))})
+    head = p.groupBy(*by).agg(
+        F.max(F.struct("timestamp", "id"))["id"].alias("id"), F.min("start_time").alias("start_time"), F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("scale").alias("scale"),
         F.max("zero_threshold").alias("zero_threshold"), F.sum("zero_count").alias("zero_count"),
-        F.coalesce(F.first("positive_target", True), F.lit(0)).alias("positive_bucket_offset"), F.coalesce(F.first("negative_target", True), F.lit(0)).alias("negative_bucket_offset"),
-        hist.add_vectors(F.collect_list("positive_p")).alias("positive_bucket_counts"), hist.add_vectors(F.collect_list("negative_p")).alias("negative_bucket_counts"),
     )
+    m = head.join(_merged_cells(p, head, by), list(by), "left")
+    m = m.withColumns({f"{x}_bucket_offset": F.coalesce(f"{x}_bucket_offset", F.lit(0).cast("long")) for x in ("positive", "negative")})
     sides = [hist.zero_fold(F.col(f"{x}_bucket_counts"), F.col(f"{x}_bucket_offset"), F.col("zero_threshold"), F.col("scale")).alias(x) for x in ("positive", "negative")]
     m = m.select("*", once(F.struct(*sides)).alias("sides"))
     changed = {f"{x}_bucket_{y}": F.col(f"sides.{x}.{y}") for x in ("positive", "negative") for y in ("counts", "offset")}

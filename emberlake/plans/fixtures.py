@@ -82,6 +82,13 @@ from d_grid group by 1, 2, 3, 4, 5""",
 }
 
 
+DERIVED["d_sign_cells"] = (
+    ("d_grid",),
+    """select concat(event_type, ':', cast(user_id as string)) as series_id, day, case when abs(value - 100) < 0.05 then 'zero' when value > 100 then 'positive' else 'negative' end as side,
+  case when abs(value - 100) < 0.05 then 0 else cast(floor(round(log2(abs(value - 100)) * 4, 9)) as bigint) end as idx, count(*) as c from d_grid group by 1, 2, 3, 4""",
+)
+
+
 def sql_for(names: tuple[str, ...], duck: bool) -> list[tuple[str, str]]:
     """The derivations that ``names`` need, in order."""
     out: dict[str, str] = {}
@@ -169,3 +176,19 @@ def exponential_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("scale").cast("int").alias("scale"), F.col("zero_count").cast("long").alias("zero_count"), F.lit(0.05).alias("zero_threshold"),
         F.coalesce("lo", F.lit(0)).cast("long").alias("positive_bucket_offset"), F.coalesce(dense, none).alias("positive_bucket_counts"), F.lit(0).cast("long").alias("negative_bucket_offset"), none.alias("negative_bucket_counts"),
     )
+
+
+def cumulative_exponential_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exponential datapoints of ``d_sign_cells`` that count from the beginning of their series, at scale 2, of both signs."""
+    from emberlake.functions import hist
+
+    cells = derived(spark, sf_dir, "d_sign_cells")
+    days = cells.select("series_id", "day").distinct()
+    so_far = days.join(cells.withColumnRenamed("day", "of"), "series_id").filter("of <= day").groupBy("series_id", "day", "side", "idx").agg(F.sum("c").alias("c"))
+    g = so_far.groupBy("series_id", "day").pivot("side", ["positive", "negative", "zero"]).agg(F.array_sort(F.collect_list(F.struct("idx", "c"))))
+    count = F.aggregate(F.concat("positive", "negative", "zero"), F.lit(0).cast("long"), lambda n, x: n + x.c)
+    sides = {f"{s}_bucket_{k}": v for s in ("positive", "negative") for k, v in (("offset", F.get(F.col(s), F.lit(0)).idx.cast("int")), ("counts", hist.dense(F.col(s))))}
+    time = F.col("day") * 86_400_000_000_000
+    zero = F.coalesce(F.get(F.col("zero"), F.lit(0)).c, F.lit(0))
+    out = g.withColumns(sides | {"count": count, "zero_count": zero, "scale": F.lit(2), "zero_threshold": F.lit(0.05), "sum": F.lit(0.0), "timestamp": time, "start_time": time, "stream_id": F.lit("m")})
+    return out.withColumn("id", F.concat("series_id", F.lit(":"), F.col("day").cast("string"))).drop("positive", "negative", "zero")

@@ -641,6 +641,37 @@ def exphist_quantiles(spark, d):
     return _rounded(metrics.quantile_lines(metrics.with_quantiles(m, [0.9], True)), "value")
 
 
+_SIGNED = f"""cells as (select *, min(day) over (partition by series_id) as first from d_sign_cells), d as (select series_id, cast(floor(day / 7) as bigint) * {WEEK} as bucket_start, side, idx, c from cells where day > first)"""
+
+
+@register(
+    "exphist_cumulative",
+    f"with {_SIGNED} select series_id, bucket_start, side, case when side = 'zero' then 0 else idx end as idx, cast(sum(c) as bigint) as c from d group by 1, 2, 3, 4",
+    "d_sign_cells",
+)
+def exphist_cumulative(spark, d):
+    m = metrics.merge_exponential(metrics.bucketed(fx.cumulative_exponential_points(spark, d), WEEK), cumulative=True)
+    cells = None
+    for side in ("positive", "negative"):
+        x = m.select("series_id", "bucket_start", F.lit(side).alias("side"), F.col(f"{side}_bucket_offset").alias("o"), F.posexplode(f"{side}_bucket_counts").alias("p", "c"))
+        x = x.select("series_id", "bucket_start", "side", (F.col("o") + F.col("p")).alias("idx"), "c")
+        cells = x if cells is None else cells.union(x)
+    return cells.union(m.select("series_id", "bucket_start", F.lit("zero"), F.lit(0).cast("long"), "zero_count")).filter("c > 0")
+
+
+@register(
+    "exphist_negative_quantiles",
+    f"""with {_SIGNED}, z as (select series_id, bucket_start, case side when 'zero' then 0 when 'positive' then 1000 + idx else -1000 - idx end as pos, side, idx, sum(c) as cnt from d group by 1, 2, 3, 4, 5),
+a as (select *, coalesce(sum(cnt) over (w rows between unbounded preceding and 1 preceding), 0) as before, sum(cnt) over (w rows between unbounded preceding and current row) as acc, sum(cnt) over (partition by series_id, bucket_start) as n from z window w as (partition by series_id, bucket_start order by pos)),
+q as (select *, case side when 'negative' then -power(2, (idx + 1) / 4.0) when 'positive' then power(2, idx / 4.0) else 0 end as lo, case side when 'negative' then -power(2, idx / 4.0) when 'positive' then power(2, (idx + 1) / 4.0) else 0 end as hi from a where acc >= 0.25 * n)
+select series_id, bucket_start, 0.25::double as q, round(arg_min(case when side = 'zero' then 0.0 else lo * power(hi / lo, (0.25 * n - before) / cnt) end, pos), 5) as value from q group by 1, 2""",
+    "d_sign_cells",
+)
+def exphist_negative_quantiles(spark, d):
+    m = metrics.merge_exponential(metrics.bucketed(fx.cumulative_exponential_points(spark, d), WEEK), cumulative=True)
+    return metrics.quantile_lines(metrics.with_quantiles(m, [0.25], True)).withColumn("value", F.round("value", 5)).filter("value is not null")
+
+
 _EXEMPLARS = f"select id as id, concat(series_id, ':', cast(cast(floor(timestamp / {DAY}) as bigint) as string)) as datapoint_id, series_id, timestamp, value from d_gauge"
 
 
