@@ -356,7 +356,7 @@ def shipped_series(points: DataFrame, r: Request) -> DataFrame:
 def series_stats(points: DataFrame) -> DataFrame:
     """Count, extremes, mean and latest value over every projected reading (NaN included, as it sorts highest)."""
     return points.groupBy("series_id").agg(
-        F.count("value").alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("avg_value"), F.max(F.struct("timestamp", "id", "value"))["value"].alias("last_value")
+        F.count("value").alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("avg_value"), F.sum("value").alias("sum_value"), F.max(F.struct("timestamp", "id", "value"))["value"].alias("last_value")
     )
 
 
@@ -375,6 +375,7 @@ def get_metric(points: DataFrame, metric_type: str, temporality: str = "", r: Re
             out["views"] = views(p, view, r)
             out["slopes"], out["rate_stats"] = slopes(out["views"]), rate_stats(out["views"])
             out["pools"] = pools(out["views"], r.selected_series_ids)
+            out["pool_slopes"], out["pool_rate_stats"] = slopes(out["pools"], "pool"), rate_stats(out["pools"], "pool")
         out["sparkline"] = sparkline(p, grid_width(p, r, r.sparkline_buckets), r)
         out["series"] = series_stats(p)
     else:
@@ -385,10 +386,11 @@ def get_metric(points: DataFrame, metric_type: str, temporality: str = "", r: Re
             merged = (merge_exponential if exponential else merge_explicit)(b, temporality == "Cumulative")
             if not exponential:
                 out["bounds_mismatch"] = bounds_mismatch(merged)
+                rows = merged.filter("distinct_bounds <= 1")
             across = (cross_series_exponential if exponential else cross_series_explicit)(merged)
+            across = across.withColumn("timestamp", F.col("bucket_start"))
             out["aggregate"] = with_quantiles(with_extents(across, exponential), r.quantiles, exponential)
-            rows = merged if exponential else merged.filter("distinct_bounds <= 1")
-            rows = with_extents(rows, exponential).withColumn("timestamp", F.col("bucket_start"))
+            rows = with_extents(merged if exponential else rows, exponential).withColumn("timestamp", F.col("bucket_start"))
         out["datapoints"] = with_quantiles(rows, r.quantiles, exponential)
     out["datapoints"] = out.get("datapoints", rows).join(shipped_series(p, r).select("series_id"), "series_id", "left_semi")
     if exemplars is not None:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.operators import discovery, logs, metrics, retention, traces
+from emberlake.plans import wire
 from emberlake.plans.search import compiler, parser
 from emberlake.sources.store import Store
 
@@ -209,10 +210,20 @@ class Api:
         spans = self._with_owners(self.store.table("spans").filter(F.col("trace_id") == hex_id(trace_id)))
         tree = self._tree(query, compiler.SPAN_FIELDS, compiler.SPANS)
         spans = compiler.matching(spans, tree, compiler.SPANS, self._sources(), flag="hit") if tree is not None else spans.withColumn("hit", F.lit(True))
-        got = rows(traces.search_spans(spans, F.col("hit")).drop("hit"), "position")
+        t = self.store.table
+        got = rows(wire.span_items(traces.search_spans(spans, F.col("hit")), t("events"), t("links"), t("attributes")), "position")
         if not got:
             raise TraceNotFound
-        return got
+        start, items = got[0]["traceStart"], []
+        for x in got:
+            del x["position"], x["traceStart"]
+            salvaged = x.pop("salvaged")
+            items.append(x | {"salvaged": True} if salvaged else {k: v for k, v in x.items() if k != "cyclePoint"})
+        owners = {}
+        for name, key, named in (("resources", "r", False), ("scopes", "s", True)):
+            used = t(name).filter(F.col("seq").isin(sorted({x["spanData"][key] for x in got if x["spanData"][key] is not None})))
+            owners[name] = {str(r["seq"]): r["obj"] for r in rows(wire.owner_objects(used, t("attributes"), named))}
+        return {"traceID": hex_id(trace_id), "traceStart": start, **owners, "unplacedSpanCount": sum("salvaged" in x for x in items), "spans": items}
 
     def _getTraceSpanCount(self, trace_id):
         return traces.span_count(self.store.table("spans"), hex_id(trace_id)).first()[0]
@@ -224,7 +235,10 @@ class Api:
         return rows(logs.search_logs(found, integer(start), integer(end)), F.desc("effective_time"), "id")
 
     def _getLog(self, log_id):
-        got = rows(logs.get_log(self._with_owners(self.store.table("logs")), uuid_id(log_id, InvalidLogID)))
+        t = self.store.table
+        one = logs.get_log(t("logs"), uuid_id(log_id, InvalidLogID))
+        res, sco = (wire.owner_objects(t(n).join(one.select(F.col(k).alias("id")), "id", "left_semi"), t("attributes"), n == "scopes") for n, k in (("resources", "resource_id"), ("scopes", "scope_id")))
+        got = rows(wire.log_records(one, res, sco, t("attributes")))
         if not got:
             raise LogNotFound
         return got[0]
@@ -254,15 +268,69 @@ class Api:
             raise MetricNotFound
         points = self._points().filter(F.col("stream_id") == got.id)
         exemplars = self.store.table("exemplars").join(points.select(F.col("id").alias("datapoint_id")), "datapoint_id", "left_semi")
-        return got, metrics.get_metric(points, got.metric_type, got.aggregation_temporality, r, exemplars)
+        return got, points, r, metrics.get_metric(points, got.metric_type, got.aggregation_temporality, r, exemplars)
+
+    def _pools(self, answers: dict) -> dict:
+        items = rows(wire.view_items(answers["pools"], answers["pool_slopes"], "pool"), "bucket_start") if "pools" in answers else []
+        return {pool: [x["item"] for x in items if x["pool"] == pool] for pool in ("selected", "all")}
+
+    def _aggregate(self, answers: dict) -> list | None:
+        return [x["item"] for x in rows(wire.aggregate_items(answers["aggregate"]), "bucket_start")] if "aggregate" in answers else None
 
     def _getMetric(self, *p):
-        stream, answers = self._metric(list(p))
-        return {"stream": stream.asDict()} | {name: rows(df) for name, df in answers.items()}
+        stream, points, r, answers = self._metric(list(p))
+        t = self.store.table
+        dictionary = t("attributes")
+
+        def by_series(name: str, items: list[dict]) -> dict[str, list]:
+            out: dict[str, list] = {}
+            for x in items:
+                out.setdefault(x["series_id"], []).append(x[name])
+            return out
+
+        sent = by_series("item", rows(wire.datapoint_items(answers["datapoints"], stream.metric_type, stream.aggregation_temporality, stream.is_monotonic, answers.get("exemplars"), dictionary), F.desc("timestamp"), "id"))
+        for items in sent.values():
+            for x in items:
+                if x["exemplarCount"] is None:
+                    del x["exemplarCount"]
+        series = t("metric_series").join(answers["window_counts"].select(F.col("series_id").alias("id")), "id", "left_semi")
+        resources = {x["id"]: x["obj"] for x in rows(wire.owner_objects(t("resources").join(series.select(F.col("resource_id").alias("id")).distinct(), "id", "left_semi"), dictionary))}
+        labels = {x["id"]: x for x in rows(wire.described(series, dictionary))}
+        stats = {x["series_id"]: x for x in rows(answers["series"])} if "series" in answers else {}
+        rates = {x["series_id"]: {"min": x["min_rate"], "max": x["max_rate"], "avg": x["avg_rate"]} for x in rows(answers["rate_stats"])} if "rate_stats" in answers else {}
+        views = by_series("item", rows(wire.view_items(answers["views"], answers["slopes"], "series_id"), "bucket_start")) if "views" in answers else {}
+        lines = by_series("p", rows(answers["sparkline"].select("series_id", "timestamp", "value", F.struct(F.col("timestamp").cast("string").alias("timestamp"), "value").alias("p")), "timestamp", "value")) if "sparkline" in answers else {}
+        counts = rows(answers["window_counts"], "rank")
+        timeseries = []
+        for c in counts:
+            i = c["series_id"]
+            st = stats.get(i)
+            timeseries.append({
+                "attributesKey": i, "attributes": labels[i]["attributes"] if i in labels else [], "resource": resources.get(labels[i]["resource_id"]) if i in labels else None, "datapoints": sent.get(i, []),
+                "stats": {"count": st["n"], "min": st["min_value"], "max": st["max_value"], "sum": st["sum_value"], "avg": st["avg_value"]} if st and st["n"] else None,
+                "datapointCount": c["datapoint_count"], "lastSeenNs": str(c["latest"]), "rateStats": rates.get(i), "views": views.get(i), "sparkline": lines.get(i),
+            })
+        extent = metrics.window(points, r).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
+        mismatch = answers["bounds_mismatch"].first() if "bounds_mismatch" in answers else None
+        nothing = {"attributes": [], "droppedAttributesCount": 0}
+        head = {"description": "", "metadata": [], "resource": nothing, "scope": {"name": stream.scope_name, "version": stream.scope_version, **nothing}}
+        spoken = metrics.representative_ingest(t("metric_ingests"), points).first()
+        if spoken is not None:
+            one = t("metric_ingests").filter(F.col("id") == spoken.ingest_id)
+            said = rows(wire.described(one, dictionary, "id", "metadata_ids"))[0]
+            res, sco = (rows(wire.owner_objects(t(n).filter(F.col("id") == said[k]), dictionary)) for n, k in (("resources", "resource_id"), ("scopes", "scope_id")))
+            head = {"description": said["description"], "metadata": said["attributes"], "resource": res[0]["obj"] if res else nothing, "scope": head["scope"] | (sco[0]["obj"] if sco else {})}
+        return {
+            "id": stream.id, "name": stream.name, "unit": stream.unit, "metricType": stream.metric_type, "aggregationTemporality": stream.aggregation_temporality, "isMonotonic": stream.is_monotonic, **head,
+            "resourceDroppedAttributesCount": head["resource"]["droppedAttributesCount"], "scopeName": stream.scope_name, "scopeVersion": stream.scope_version, "scopeDroppedAttributesCount": head["scope"]["droppedAttributesCount"],
+            "timeseries": timeseries, "aggregate": self._aggregate(answers), "scalarAggregate": self._pools(answers), "lastSeenNs": None if extent.b is None else str(extent.b), "datapointCount": sum(c["datapoint_count"] for c in counts),
+            "boundsMismatch": {"seriesBuckets": mismatch.refused_rows, "aggregateBuckets": mismatch.refused_buckets} if mismatch and mismatch.refused_rows else None,
+            "window": {"fittedToData": r.fit_to_data, "startNs": str(extent.a) if r.fit_to_data and extent.a is not None else None, "endNs": str(extent.b) if r.fit_to_data and extent.b is not None else None},
+        }
 
     def _getMetricAggregate(self, *p):
-        _, answers = self._metric(list(p))
-        return {name: rows(answers[name]) for name in ("aggregate", "bounds_mismatch") if name in answers}
+        *_, answers = self._metric(list(p))
+        return {"aggregate": self._aggregate(answers), "scalarAggregate": self._pools(answers)}
 
     # discovery
 

@@ -79,10 +79,19 @@ def api(spark, tmp_path_factory):
 def test_trace_list_and_tree(api):
     got = api.call("searchTraces", [])
     assert [(t["has_root_span"], t["service_name"], t["span_count"], t["error_count"]) for t in got] == [(True, "shop", 5, 1)]
-    spans = api.call("searchSpans", {"traceID": TRACE, "query": "n = 2"})
-    assert [(s["name"], s["depth"], s["matched"], s["salvaged"], s["cycle_point"]) for s in spans] == [
+    trace = api.call("searchSpans", {"traceID": TRACE, "query": "n = 2"})
+    spans = trace["spans"]
+    assert [(s["spanData"]["name"], s["depth"], s["matched"], s.get("salvaged", False), s.get("cyclePoint", False)) for s in spans] == [
         ("op1", 0, False, False, False), ("op2", 1, True, False, False), ("op3", 0, False, False, False), ("op4", 0, False, True, True), ("op5", 1, False, True, False),
     ]
+    assert (trace["traceID"], trace["traceStart"], trace["unplacedSpanCount"]) == (TRACE, str(T + 1), 2)
+    two, three = spans[1]["spanData"], spans[2]["spanData"]
+    assert (two["start"], two["dur"], two["parentSpanID"], two["statusCode"]) == (1, 100, "0" * 15 + "1", "Error")
+    assert two["attributes"] == [{"key": "n", "value": "2", "type": "int64"}] and two["links"] == []
+    assert two["events"] == [{"name": "exception", "timestamp": str(T + 5), "droppedAttributesCount": 0, "attributes": [{"key": "ek", "value": "eventval", "type": "string"}]}]
+    assert three["links"] == [{"traceID": "ab" * 16, "spanID": "cd" * 8, "traceState": "st=1", "droppedAttributesCount": 0, "flags": 0, "attributes": [{"key": "lk", "value": "linkval", "type": "string"}]}]
+    assert [a["key"] for a in trace["resources"][str(two["r"])]["attributes"]] == ["service.name", "tags"]
+    assert trace["scopes"][str(two["s"])] == {"name": "lib", "version": "1", "attributes": [], "droppedAttributesCount": 0}
     assert api.call("getTraceSpanCount", [TRACE]) == 5
     assert api.call("getTraceSpanCount", ["f" * 32]) == 0
     with pytest.raises(TraceNotFound):
@@ -129,7 +138,9 @@ def test_metric_searches(api):
 def test_logs(api):
     got = api.call("searchLogs", [])
     assert [(g["severity_text"], len(g["body_preview"])) for g in got] == [("ERROR", 300), ("INFO", 5)]
-    assert api.call("getLog", [got[1]["id"]])["body"] == "hello"
+    one = api.call("getLog", [got[1]["id"]])
+    assert (one["body"], one["timestamp"], one["severityNumber"], one["attributes"], one["scope"]["name"]) == ("hello", str(T), 9, [], "")
+    assert one["resource"]["attributes"][0] == {"key": "service.name", "value": "shop", "type": "string"}
     with pytest.raises(LogNotFound):
         api.call("getLog", ["0" * 32])
     with pytest.raises(InvalidLogID):
@@ -140,15 +151,25 @@ def test_metrics(api):
     cards = {c["name"]: c for c in api.call("searchMetricSummaries", [])}
     assert cards["g"]["last_value"] == 9 and cards["s"]["datapoint_count"] == 5 and cards["h"]["last_value"] is None
     s = api.call("getMetric", {"streamID": cards["s"]["stream_id"], "viewBuckets": 10, "sparklineBuckets": 5, "fitToData": True})
-    assert [p["delta"] for p in sorted(s["datapoints"], key=lambda p: p["timestamp"])] == [None, 3, 5, 2, 3]
-    assert any(v["has_reset"] for v in s["views"])
+    (line,) = s["timeseries"]
+    assert [p["delta"] for p in line["datapoints"]] == [3, 2, 5, 3, None]  # newest first
+    assert any(v["hasReset"] for v in line["views"]) and s["isMonotonic"] and line["stats"] == {"count": 5, "min": 1, "max": 9, "sum": 21, "avg": 4.2}
+    assert len(s["scalarAggregate"]["all"]) == len(line["views"]) and s["scalarAggregate"]["selected"] == [] and any(v["slope"] for v in s["scalarAggregate"]["all"])
+    assert line["rateStats"]["max"] > 0 and line["sparkline"] and s["aggregate"] is None and s["window"] == {"fittedToData": True, "startNs": str(T), "endNs": str(T + 4 * 10**9)}
     g = api.call("getMetric", {"streamID": cards["g"]["stream_id"], "targetBuckets": 1, "fitToData": True})
-    values = {p["value"] for p in g["datapoints"]}
+    (line,) = g["timeseries"]
+    values = {p["doubleValue"] for p in line["datapoints"]}
     assert {0, 9} <= values and len(values) <= 4  # first, last and at most two carriers of exemplars
+    assert line["attributes"] == [{"key": "color", "value": "red", "type": "string"}] and line["datapointCount"] == 10 and line["lastSeenNs"] == str(T + 9 * 10**9)
+    assert {e["filteredAttributes"][0]["value"] for p in line["datapoints"] for e in p["exemplars"]} == {"exval"} and all("exemplarCount" not in p for p in line["datapoints"])
+    assert line["resource"]["attributes"][0]["value"] == g["resource"]["attributes"][0]["value"] == "shop"
     h = api.call("getMetric", {"streamID": cards["h"]["stream_id"], "targetBuckets": 1, "fitToData": True, "quantiles": [0.5]})
-    assert h["aggregate"][0]["count"] == 200 and h["aggregate"][0]["bucket_counts"] == [20, 40, 60, 50, 30]
+    assert h["aggregate"][0]["count"] == 200 and h["aggregate"][0]["bucketCounts"] == [20, 40, 60, 50, 30] and h["boundsMismatch"] is None
+    assert h["timeseries"][0]["datapoints"][0]["explicitBounds"] == [0.5, 1, 1.5, 2] and h["timeseries"][0]["views"] is None
     e = api.call("getMetricAggregate", {"streamID": cards["e"]["stream_id"], "targetBuckets": 1, "fitToData": True, "quantiles": [0.9]})
-    assert e["aggregate"][0]["zero_count"] == 5
+    assert e["aggregate"][0]["zeroCount"] == 5 and e["aggregate"][0]["negativeBucketCounts"] == [2, 3] and set(e) == {"aggregate", "scalarAggregate"}
+    empty = api.call("getMetric", {"streamID": cards["g"]["stream_id"], "startTime": 1, "endTime": 2})
+    assert empty["timeseries"] == [] and empty["datapointCount"] == 0 and empty["lastSeenNs"] is None
 
 
 def test_discovery_and_stats(api):
