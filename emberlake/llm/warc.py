@@ -45,7 +45,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 FIRST = -(1 << 63)
 BLOCK = 512  # index rows of a block of a run
 FAN_IN = 256  # runs that are merged at once
-SAMPLE = 20  # block heads a range that cuts are chosen from
+SAMPLE, PROBES = 20, 8  # rows a range that cuts are chosen from, and rows of a block that may be among them
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -323,6 +323,19 @@ def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(part, INDEX)
 
 
+def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Orders of up to PROBES evenly spaced rows of each block."""
+    kinds = [KINDS[c.split()[1]] for c in BLOCKS.split(", ") if c.split()[0] in HEAD]
+    for batch in batches:
+        out = []
+        for body in batch.column(7):
+            rows = _rows(body.as_py())
+            step = -(-len(rows) // PROBES)
+            out += [_order(r) for r in rows[step // 2 :: step]]
+        cols = list(zip(*out, strict=True)) or [[]] * len(HEAD)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], list(HEAD))
+
+
 def _dealt(cuts: list[tuple]):
     """Blocks with the range that they fall into, split where a cut goes through them."""
 
@@ -357,9 +370,11 @@ def merge_runs(blocks: DataFrame, parts: int | None = None, fan_in: int = FAN_IN
         after = scratch.keep(longer, f"level{level}")
         scratch.drop(blocks)
         blocks, level = after, level + 1
-    # about SAMPLE block heads a range come to the driver
-    heads = sorted(tuple(r) for r in blocks.select(*HEAD).sample(min(1.0, SAMPLE * parts / max(1, blocks.count())), 7).collect())
-    cuts = sorted({heads[i * len(heads) // parts] for i in range(1, parts)}) if heads else []
+    # about SAMPLE rows a range come to the driver, from all over the blocks: first rows alone are the least of their runs
+    share = min(1.0, SAMPLE * parts / max(1, PROBES * blocks.count()))
+    keys = blocks.select(names).mapInArrow(lean(_probes), ", ".join(c for c in BLOCKS.split(", ") if c.split()[0] in HEAD))
+    seen = sorted(tuple(r) for r in keys.sample(share, 7).collect())
+    cuts = sorted({seen[i * len(seen) // parts] for i in range(1, parts)}) if seen else []
     dealt = blocks.select(names).mapInArrow(lean(_dealt(cuts)), BLOCKS + ", range int")
     return dealt.repartitionByRange(parts, "range").sortWithinPartitions("range", *HEAD).mapInArrow(lean(_final), INDEX)
 
