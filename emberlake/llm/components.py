@@ -44,19 +44,17 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return seen.filter("leaf > 1 or (leaf > 0 and centre > 0)").isEmpty()
 
 
-def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``edges`` (two columns): root is its component's smallest node.
 
     Edges are first contracted to stars within each batch, then alternating large-star and
-    small-star steps run until no edge changes. Each step is a partially aggregated minimum
+    small-star steps run until only stars are left (about the square of a logarithm of steps). Each step is a partially aggregated minimum
     joined back to its edges, so a node of very many edges is split like any skewed join.
     """
     a, b = edges.columns
     kind = edges.schema[0].dataType.simpleString()
     now = scratch.keep(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").mapInArrow(_contract, f"u {kind}, v {kind}"), "edges")
-    for _ in range(most_rounds):
-        if _is_star_forest(now):
-            break
+    while not _is_star_forest(now):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -66,6 +64,4 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         after = scratch.keep(small, "star")
         scratch.drop(now)
         now = after
-    else:
-        raise RuntimeError("components did not settle")
     return scratch.keep(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), "components")

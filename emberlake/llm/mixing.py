@@ -16,9 +16,9 @@ first, then over bucket totals, so no task orders a whole source. Source totals
 table of one row for each source.
 
 Defined results: null and empty texts have size 0 and give nothing; a null source is a
-source of its own, last in order; rows equal in doc_id are ordered by text, and exact
-repeats are documents of their own; a null doc_id is ordered by its text alone; extra
-columns are ignored; an empty table gives an empty result; if no document has words all
+source of its own, last in order; documents are ordered by a digest of their doc_id (of
+their text where it is null), then by doc_id, size and a digest of the whole row, and exact
+repeats are documents of their own; extra columns are ignored; an empty table gives an empty result; if no document has words all
 targets are 0. Reruns agree, as order depends on content only.
 """
 
@@ -91,10 +91,12 @@ def demand(x: Column, knots: Knots) -> Column:
 def laps(docs: DataFrame, weights: Sequence[int] = WEIGHTS, factor: float = FACTOR, most: int = MOST) -> DataFrame:
     """``docs`` (doc_id, source, text, ...) with size, source_size, target, before (words of its source ahead of it in a lap) and taken.
 
-    Carries only doc_id, source, an order key and the row's identity; the text is read once to be counted.
+    Carries only doc_id, source, an order key and the row's identity: the texts are read once, and what
+    is left of them is stored for the sums that follow.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.coalesce("text", F.lit("")))))
     d = docs.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("key"), row_key(*ROW).alias("row"))
+    d = Scratch(docs.sparkSession, "laps").keep(d, "slim")
     goal = targets(d.select("source", "size"), weights, factor, most)
     bucket = F.substring("key", 1, BUCKET_HEX)
     d = d.withColumn("bucket", bucket)
