@@ -448,3 +448,14 @@ VIEWS: dict[tuple[str, bool], tuple[tuple[str, ...], str]] = {
     ("Histogram", False): (("heatmap", "quantiles"), "heatmap"),
     ("ExponentialHistogram", False): (("heatmap", "quantiles"), "heatmap"),
 }
+
+
+def stat_badges(metric_type: str, temporality: str, view: str) -> tuple[str, ...]:
+    """Statistics worth showing beside a series: a mean rate says little, and a total only makes sense for raw deltas."""
+    total = metric_type == "Sum" and temporality == "Delta" and view == "raw"
+    return ("min", "max", *(() if view == "rate" else ("avg",)), *(("total",) if total else ()))
+
+
+def slope_offered(metric_type: str, temporality: str, monotonic: bool | None, view: str) -> bool:
+    """Whether a chart can say how fast its rate changes: only the rate of a counter that runs on."""
+    return metric_type == "Sum" and temporality == "Cumulative" and monotonic is True and view == "rate"

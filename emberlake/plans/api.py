@@ -18,6 +18,7 @@ from emberlake.operators import discovery, logs, metrics, retention, traces
 from emberlake.plans import wire
 from emberlake.plans.search import compiler, parser
 from emberlake.sources.store import Store
+from emberlake.sources.telemetry import Telemetry
 
 
 class RpcError(Exception):
@@ -139,8 +140,9 @@ def rows(df: DataFrame, *order) -> list[dict]:
 class Api:
     """Answers requests from a store."""
 
-    def __init__(self, store: Store):
+    def __init__(self, store: Store, telemetry: Telemetry | None = None):
         self.store = store
+        self.telemetry = telemetry or Telemetry(False)
 
     def handle(self, body: str | bytes) -> str:
         """One JSON-RPC request to one response."""
@@ -155,7 +157,10 @@ class Api:
             if not isinstance(request, dict) or request.get("jsonrpc") != "2.0" or not isinstance(request.get("method"), str):
                 raise InvalidRequest
             ident = request.get("id")
-            return json.dumps({"jsonrpc": "2.0", "id": ident, "result": self.call(request["method"], request.get("params"))})
+            with self.telemetry.timed("emberlake.rpc.duration", request["method"]):
+                answer = json.dumps({"jsonrpc": "2.0", "id": ident, "result": self.call(request["method"], request.get("params"))})
+            self.telemetry.record("emberlake.rpc.response_bytes", len(answer.encode()), request["method"])
+            return answer
         except RpcError as e:
             return json.dumps({"jsonrpc": "2.0", "id": ident, "error": {"code": e.code, "message": str(e)}})
 

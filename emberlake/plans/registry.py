@@ -482,9 +482,9 @@ def series_limit(spark, d):
     return metrics.shipped_series(derived(spark, d, "d_gauge"), metrics.Request(datapoint_series_limit=7)).select("series_id", "latest")
 
 
-@register("series_stats", "select series_id, count(value) as n, min(value) as min_value, max(value) as max_value, round(avg(value), 6) as avg_value, arg_max(value, (timestamp, id)) as last_value from d_gauge group by 1", "d_gauge")
+@register("series_stats", "select series_id, count(value) as n, min(value) as min_value, max(value) as max_value, round(avg(value), 6) as avg_value, round(sum(value), 6) as sum_value, arg_max(value, (timestamp, id)) as last_value from d_gauge group by 1", "d_gauge")
 def series_stats(spark, d):
-    return _rounded(metrics.series_stats(derived(spark, d, "d_gauge")), "avg_value")
+    return _rounded(metrics.series_stats(derived(spark, d, "d_gauge")), "avg_value", "sum_value")
 
 
 @register("resampled", f"select series_id, cast(floor(timestamp / {DAY}) as bigint) * {DAY} + {DAY // 2} as centre, arg_max(value, (timestamp, id)) as value from d_gauge group by 1, 2", "d_gauge")

@@ -10,6 +10,7 @@ from emberlake.plans.api import Api, InvalidLogID, InvalidParams, InvalidQuery,
 from emberlake.plans.search import compiler
 from emberlake.sources import store as st
 from emberlake.sources.store import Store
+from emberlake.sources.telemetry import Telemetry
 from emberlake.streaming import ingest
 
 T = 1_700_000_000_000_000_000
@@ -236,3 +237,67 @@ def test_order_statistics(spark):
         s = sorted(values)
         for rank in {0, len(s) // 10, len(s) // 2, len(s) - 1}:
             assert retention.order_statistics(df, F.col("t"), rank, few=20) == (s[rank], s[min(rank + 1, len(s) - 1)])
+
+
+@pytest.fixture
+def small(spark, tmp_path):
+    return Store(spark, str(tmp_path / "small"))
+
+
+def log_rows(spark, *times):
+    return spark.createDataFrame([(f"id{t}", t, "x") for t in times], "id string, timestamp long, body string")
+
+
+def test_a_crash_leaves_the_last_snapshot(spark, small, monkeypatch):
+    small.append({"logs": log_rows(spark, 1, 2)})
+    before = small.snapshot()
+    monkeypatch.setattr(small, "_write_text", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        small.replace({"logs": log_rows(spark, 9)})
+    monkeypatch.undo()
+    assert small.snapshot() == before and small.table("logs").count() == 2
+    number, _ = small._latest()
+    small.append({"logs": log_rows(spark, 2, 3)})  # 2 is known
+    assert sorted(r.timestamp for r in small.table("logs").collect()) == [1, 2, 3]
+    with pytest.raises(st.ConflictError):
+        small._commit(number, {}, [])  # a writer that missed that change
+
+
+def test_many_batches_are_put_together(spark, small, monkeypatch):
+    monkeypatch.setattr(st, "MOST_FOLDERS", 3)
+    for t in range(6):
+        small.append({"logs": log_rows(spark, t, 100)})
+    assert len(small.snapshot()["logs"]) <= 3 and small.table("logs").count() == 7
+    old = small.table("logs")
+    assert old.count() == 7  # folders that went are still there for readers
+    monkeypatch.setattr(st, "GRACE_SECONDS", -1)
+    small.replace({"logs": log_rows(spark, 5)})
+    assert small.table("logs").count() == 1 and len(list(small._fs.listStatus(small._p("logs")))) == 1
+
+
+def test_telemetry_can_be_ingested(spark, small):
+    import threading
+
+    t = Telemetry()
+    with t.timed("emberlake.ingest.duration", "logs"):
+        pass
+    answer = Api(small, t).handle('{"jsonrpc": "2.0", "id": 1, "method": "getStats"}')
+    stop = threading.Event()
+    stop.set()
+    ingest.keep_within(small, 1, 0.01, stop, t).join(10)
+    t.record("emberlake.retention.duration", 3.0)
+    docs = spark.read.schema(ingest.SCHEMAS["metrics"]).json(spark.sparkContext.parallelize([json.dumps(t.document())]))
+    ingest.load(small, docs, "metrics")
+    got = {r.name: r for r in small.table("metric_streams").collect()}
+    assert set(got) == {"emberlake.ingest.duration", "emberlake.rpc.duration", "emberlake.rpc.response_bytes", "emberlake.retention.duration"} and got["emberlake.rpc.duration"].unit == "ms"
+    sizes = small.table("datapoints").filter(F.col("stream_id") == got["emberlake.rpc.response_bytes"].id).collect()
+    assert [(r["count"], r["sum"]) for r in sizes] == [(1, len(answer))]
+    assert Telemetry(False).document()["resourceMetrics"][0]["scopeMetrics"][0]["metrics"] == []
+
+
+def test_badges():
+    from emberlake.operators import metrics
+
+    assert metrics.stat_badges("Sum", "Delta", "raw") == ("min", "max", "avg", "total")
+    assert metrics.stat_badges("Sum", "Cumulative", "rate") == ("min", "max") and metrics.stat_badges("Gauge", "", "raw") == ("min", "max", "avg")
+    assert metrics.slope_offered("Sum", "Cumulative", True, "rate") and not metrics.slope_offered("Sum", "Delta", True, "rate")
