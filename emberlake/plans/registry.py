@@ -12,6 +12,7 @@ from emberlake.operators import discovery, logs, metrics, retention, traces
 from emberlake.plans import fixtures as fx
 from emberlake.plans.fixtures import derived, oracle
 from emberlake.plans.search import compiler, parser
+from emberlake.sources import otlp
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -775,6 +776,87 @@ def orphan_sweep(spark, d):
     return retention.sweep(tables)["attributes"].groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---- ingest ------------------------------------------------------------------------
+
+
+def _documents(rows, signal, body):
+    """Export documents of one record each, as text and read back, with a resource named by ``service_name``."""
+    named = F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.col("service_name").alias("stringValue")).alias("value")))
+    outer, inner, items = {"traces": ("resourceSpans", "scopeSpans", "spans"), "logs": ("resourceLogs", "scopeLogs", "logRecords"), "metrics": ("resourceMetrics", "scopeMetrics", "metrics")}[signal]
+    scope = F.struct(F.struct(F.lit("lib").alias("name"), F.lit("1").alias("version")).alias("scope"), F.array(body).alias(items))
+    text = F.to_json(F.struct(F.array(F.struct(F.struct(named.alias("attributes")).alias("resource"), F.array(scope).alias(inner))).alias(outer)))
+    return rows.select(F.from_json(text, {"traces": otlp.TRACES, "logs": otlp.LOGS, "metrics": otlp.METRICS}[signal]).alias("d")).select("d.*")
+
+
+def _labels(**values):
+    value = lambda kind, c: F.struct(*((c if x == kind else F.lit(None).cast("string")).alias(x) for x in ("stringValue", "intValue")))
+    return F.array(*(F.struct(F.lit(k).alias("key"), value(kind, c).alias("value")) for k, (kind, c) in values.items()))
+
+
+def _fields(**values):
+    return F.struct(*(c.alias(n) for n, c in values.items()))
+
+
+@register(
+    "ingest_spans",
+    """select s.trace_id, s.span_id, s.parent_span_id, s.name, s.kind, s.start_time, s.end_time, s.status_code, s.status_message, s.service_name, 2 as n_attributes, (select count(*) from d_events e where e.span_id = s.span_id) as n_events from d_spans s""",
+    "d_spans",
+    "d_events",
+)
+def ingest_spans(spark, d):
+    s = derived(spark, d, "d_spans")
+    happened = F.when(F.col("line") % 2 == 1, F.array(_fields(name=F.col("status_code"), timeUnixNano=(F.col("start_time") + 10).cast("string"))))
+    body = _fields(
+        traceId=F.col("trace_id"), spanId=F.col("span_id"), parentSpanId=F.coalesce("parent_span_id", F.lit("")), name=F.col("name"), kind=F.when(F.col("kind") == "Server", "2").otherwise("1"),
+        startTimeUnixNano=F.col("start_time").cast("string"), endTimeUnixNano=F.col("end_time").cast("string"), status=_fields(code=F.when(F.col("status_code") == "Error", "2").otherwise("1"), message=F.col("status_message")),
+        attributes=_labels(brand=("stringValue", F.col("brand")), quantity=("intValue", F.col("quantity").cast("string"))), events=happened,
+    )
+    t = otlp.TABLES["traces"](_documents(s, "traces", body))
+    n = t["events"].groupBy("span_id").agg(F.count(F.lit(1)).alias("n_events"))
+    out = t["spans"].join(n, "span_id", "left").withColumn("n_attributes", F.size("attribute_ids")).withColumn("n_events", F.coalesce("n_events", F.lit(0).cast("long")))
+    return out.select("trace_id", "span_id", "parent_span_id", "name", "kind", "start_time", "end_time", "status_code", "status_message", "service_name", "n_attributes", "n_events")
+
+
+@register(
+    "ingest_logs",
+    "select timestamp, observed_timestamp, severity_text, cast(severity_number as integer) as severity_number, body, body_type, event_name, service_name, trace_id from d_logs",
+    "d_logs",
+)
+def ingest_logs(spark, d):
+    rows = derived(spark, d, "d_logs")
+    body = _fields(
+        timeUnixNano=F.col("timestamp").cast("string"), observedTimeUnixNano=F.col("observed_timestamp").cast("string"), severityText=F.col("severity_text"), severityNumber=F.col("severity_number"), eventName=F.col("event_name"),
+        body=_fields(stringValue=F.col("body")), traceId=F.col("trace_id"),
+    )
+    t = otlp.TABLES["logs"](_documents(rows, "logs", body))["logs"]
+    return t.select("timestamp", "observed_timestamp", "severity_text", "severity_number", "body", "body_type", "event_name", "service_name", "trace_id")
+
+
+@register(
+    "ingest_metrics",
+    """select 'gauge' as name, 'Gauge' as metric_type, event_type as service_name, @US(ts) * 1000 as timestamp, value as double_value, null::bigint as int_value, 'double' as value_type, null::bigint as count, case when value > 400 then value end as exemplar from events
+union all select 'sum', 'Sum', event_type, @US(ts) * 1000, null, event_id, 'int', null, null from events union all select 'hist', 'Histogram', event_type, @US(ts) * 1000, null, null, null, 3, null from events""".replace("@US(ts)", "epoch_us(ts)"),
+)
+def ingest_metrics(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("service_name"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string").alias("t"), "value", "event_id", "user_id")
+    at = F.col("t")
+    user = _labels(user=("intValue", F.col("user_id").cast("string")))
+    seen = F.when(F.col("value") > 400, F.array(_fields(timeUnixNano=at, asDouble=F.col("value"), filteredAttributes=user)))
+    kinds = (
+        _fields(name=F.lit("gauge"), gauge=_fields(dataPoints=F.array(_fields(timeUnixNano=at, asDouble=F.col("value"), attributes=user, exemplars=seen)))),
+        _fields(name=F.lit("sum"), sum=_fields(dataPoints=F.array(_fields(timeUnixNano=at, asInt=F.col("event_id").cast("string"), attributes=user)), aggregationTemporality=F.lit("1"), isMonotonic=F.lit(False))),
+        _fields(name=F.lit("hist"), histogram=_fields(dataPoints=F.array(_fields(timeUnixNano=at, count=F.lit("3"), sum=F.col("value"), bucketCounts=F.array(F.lit("1"), F.lit("2")), explicitBounds=F.array(F.lit(10.0)), attributes=user)), aggregationTemporality=F.lit("1"))),
+    )
+    out = None
+    for body in kinds:
+        t = otlp.TABLES["metrics"](_documents(e, "metrics", body))
+        x = t["exemplars"].select(F.col("datapoint_id").alias("id"), F.col("value").alias("exemplar"))
+        p = t["datapoints"].join(t["metric_streams"].select(F.col("id").alias("stream_id"), "name", "metric_type", "service_name"), "stream_id").join(x, "id", "left")
+        p = p.select("name", "metric_type", "service_name", "timestamp", "double_value", "int_value", "value_type", "count", "exemplar")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 # ---- id rules ----------------------------------------------------------------------
 
 
