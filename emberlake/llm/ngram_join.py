@@ -403,8 +403,7 @@ def by_key(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
             yield from pa.concat_tables(held).combine_chunks().to_batches()
 
     rest = [c for c in df.columns if c not in keys]
-    parts = shuffle_partitions(df.sparkSession)
-    return df.select(*keys, *rest).repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(lean(run), schema)
+    return df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), schema)
 
 
 def _edge_table(edges: list[tuple[bytes, bytes]]) -> pa.Table | None:

@@ -111,7 +111,9 @@ def test_keep_one_keeps_rows_apart(spark):
     assert ngram_join.keep_one(ids).count() == 2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("held", [components.ONE_TASK, 0])
+def test_components(spark, monkeypatch, held):
+    monkeypatch.setattr(components, "ONE_TASK", held)
     edges = [(b"a", b"b"), (b"c", b"b"), (b"d", b"e"), (b"e", b"d"), (b"f", b"f"), *((str(i).zfill(3).encode(), str(i + 1).zfill(3).encode()) for i in range(100, 140))]
     df = spark.createDataFrame(edges, "a binary, b binary").repartition(7)
     got = {bytes(r.node): bytes(r.root) for r in components.components(df, Scratch(spark, "t")).collect()}
