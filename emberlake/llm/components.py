@@ -69,7 +69,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     a, b = edges.columns
     kind = edges.schema[0].dataType.simpleString()
-    now = scratch.keep(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").mapInArrow(_contract, f"u {kind}, v {kind}"), "edges")
+    now = scratch.keep(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").mapInArrow(_contract, f"u {kind}, v {kind}"), "edges", few=True)
     if now.count() <= ONE_TASK:
         out = scratch.keep(now.repartition(1).mapInArrow(lean(_settled), f"node {kind}, root {kind}"), "components")
         scratch.drop(now)

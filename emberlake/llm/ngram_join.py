@@ -569,9 +569,9 @@ def _groups(docs: DataFrame, k: int, share: int, lower: bool, sketch_bits: int |
     def near_edges() -> DataFrame:
         """2. Links within the blocks of home tiles, and bridges between blocks."""
         rows = arrays.select("g1", "g2", "block", "sid", "arr", "blocks")
-        near = scratch.keep(by_key(rows, ["g1", "g2", "block"], _cluster_block(share), "g1 long, g2 long, a binary, b binary, arr binary"), "near")
+        near = scratch.keep(by_key(rows, ["g1", "g2", "block"], _cluster_block(share), "g1 long, g2 long, a binary, b binary, arr binary"), "near", few=True)
         bridges = near.filter("b is null").select("g1", "g2", F.col("a").alias("sid"), "arr", F.col("a").alias("comp"))
-        out = scratch.keep(near.filter("b is not null").select("a", "b").union(by_key(bridges, ["g1", "g2"], _cluster_group(share), "a binary, b binary")), "edges")
+        out = scratch.keep(near.filter("b is not null").select("a", "b").union(by_key(bridges, ["g1", "g2"], _cluster_group(share), "a binary, b binary")), "edges", few=True)
         scratch.drop(near)
         return out
 
@@ -586,7 +586,7 @@ def _groups(docs: DataFrame, k: int, share: int, lower: bool, sketch_bits: int |
         open_tiles = placed.join(mixed, ["g1", "g2"]).join(sets.select("sid", "bm"), "sid")
         pairs = open_tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
         pairs = pairs.select("g1", "g2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "n", "home", "comp", "bm")
-        out = scratch.keep(by_key(pairs, ["g1", "g2", "i", "j"], _survivors(share), "key binary, sids array<binary>").dropDuplicates(["key"]), "open")
+        out = scratch.keep(by_key(pairs, ["g1", "g2", "i", "j"], _survivors(share), "key binary, sids array<binary>").dropDuplicates(["key"]), "open", few=True)
         scratch.drop(placed)
         return out
 

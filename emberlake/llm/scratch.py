@@ -34,10 +34,14 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:02d}-{name}"
 
-    def keep(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-        """Write ``df`` and return it as read back: later stages restart from the files."""
+    def keep(self, df: DataFrame, name: str, codec: str | None = None, few: bool = False) -> DataFrame:
+        """Write ``df`` and return it as read back: later stages restart from the files.
+
+        few: the rows are small beside the work that made them, so they are dealt to as many
+        files as their bytes need, not one for each task.
+        """
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path, compression=codec)
+        (df.hint("rebalance") if few else df).write.mode("overwrite").parquet(path, compression=codec)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
