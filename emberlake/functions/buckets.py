@@ -23,8 +23,9 @@ def width_of(span_ns: int | None, target: int | None) -> int | None:
 
 
 def width_column(span: Column, target: Column) -> Column:
-    fits = F.filter(F.array(*(F.lit(w).cast("long") for w in LADDER)), lambda w: F.floor(span / w) <= target)
-    over = F.round((span / F.lit(float(DAY)) / target + 1) * F.lit(float(DAY))).cast("long")
+    """``width_of`` as an expression: whole buckets are counted exactly, a width half-way between two nanoseconds is the even one."""
+    fits = F.filter(F.array(*(F.lit(w).cast("long") for w in LADDER)), lambda w: floor_div(span, w) <= target)
+    over = F.rint((span / F.lit(float(DAY)) / target + 1) * F.lit(float(DAY))).cast("long")
     return F.when((target > 0) & (span > 0), F.coalesce(F.array_min(fits), over))
 
 

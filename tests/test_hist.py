@@ -89,6 +89,20 @@ def test_ladder():
     assert buckets.width_of(1_767_225_600 * 10**9, 400) == 4_504_464_000_000_000
 
 
+@pytest.mark.parametrize(
+    ("span", "target", "width"),
+    [
+        (32801 * 7919000001, 2, 216_275_559_516_400),  # half-way between ...400 and ...401
+        (10**17 - 1, 10**11 - 1, buckets.MS),  # as a double, the span is 10**17: one bucket too many
+        (10**17, 10**11 - 1, 10 * buckets.MS),
+        (0, 10, None),
+    ],
+)
+def test_ladder_column(ev, span, target, width):
+    assert ev(buckets.width_column(F.lit(span).cast("long"), F.lit(target).cast("long"))) == width
+    assert buckets.width_of(span, target) == width
+
+
 def test_repeated_hour_is_the_later_one(ev):
     wall = 1_792_891_800 * 10**9  # 2026-10-25 01:30
     assert ev(buckets.to_utc(F.lit(wall), "Europe/London")) == wall
