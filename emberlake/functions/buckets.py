@@ -47,9 +47,13 @@ def _stamp(ns: Column) -> Column:
 
 def zone_offset(ns: Column, zone: str | None) -> Column:
     """Offset of a zone at an instant, in ns; null without a zone. The session zone must be UTC."""
+    return zone_offset_at(_stamp(ns), zone)
+
+
+def zone_offset_at(t: Column, zone: str | None) -> Column:
+    """``zone_offset`` of a timestamp, which may lie beyond the ns of a long (1677 to 2262)."""
     if zone is None:
         return F.lit(None).cast("long")
-    t = _stamp(ns)
     return (F.unix_micros(F.from_utc_timestamp(t, zone)) - F.unix_micros(t)) * 1000
 
 

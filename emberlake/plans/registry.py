@@ -507,10 +507,10 @@ def bucket_ladder(spark, d):
     """select event_id, zone, (epoch_us(make_timestamptz(us) at time zone zone) - us) * 1000 as offset_ns from (select event_id, event_id * 3154000000 + 1700000000000000 as us from events) x, (values ('UTC'), ('Asia/Kolkata'), ('Europe/London'), ('America/New_York')) z(zone)""",
 )
 def zone_offsets(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("event_id") * 3154000000000 + 1700000000000000000).alias("ns"))
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.timestamp_micros(F.col("event_id") * 3154000000 + 1700000000000000).alias("t"))
     out = None
     for z in ("UTC", "Asia/Kolkata", "Europe/London", "America/New_York"):
-        part = e.select("event_id", F.lit(z).alias("zone"), buckets.zone_offset(F.col("ns"), z).alias("offset_ns"))
+        part = e.select("event_id", F.lit(z).alias("zone"), buckets.zone_offset_at(F.col("t"), z).alias("offset_ns"))
         out = part if out is None else out.union(part)
     return out
 

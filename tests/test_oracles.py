@@ -44,3 +44,14 @@ def test_same_rows(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(ORACLES) == set(QUERIES)
+
+
+def test_zone_offsets_beyond_the_ns_of_a_long(spark, tmp_path):
+    """Event ids of large tables lead past the year 2262."""
+    spark.createDataFrame([(i,) for i in (0, 5_000, 2_383_999, 2_384_500, 5_999_999, 50_000_000)], "event_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("set timezone='UTC'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    ours = QUERIES["zone_offsets"](spark, str(tmp_path)).select("event_id", "zone", "offset_ns").collect()
+    theirs = con.execute(f"select event_id, zone, offset_ns from ({ORACLES['zone_offsets']})").fetchall()
+    assert len(ours) == 24 and sorted(map(tuple, ours)) == sorted(theirs)
