@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +106,9 @@ def order_statistics(table: DataFrame, value, rank: int, few: int = 10_000) -> t
     """The values (whole numbers) at ``rank`` and the next one (or the last), counted from 0, by narrowing a range.
 
     Each pass sketches percentiles of what is left and counts the rows on either side, so no
-    task ever holds more than the sketch; at most ``few`` rows are sorted in the end.
+    task ever holds more than the sketch; at most ``few`` rows are sorted in the end. The sketch
+    works on doubles, so it gets distances from the least value left: times as they are would be
+    rounded by 128 ns and more, out of a narrow range, which then never narrows.
     """
     v = table.select(value.cast("long").alias("v")).filter("v is not null")
     low, high, size = v.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
@@ -113,9 +116,12 @@ def order_statistics(table: DataFrame, value, rank: int, few: int = 10_000) -> t
     while size > few and low < high:
         left = v.filter(F.col("v").between(low, high))
         share = [max(0.0, (rank - below) / size - 0.001), min(1.0, (last + 1 - below) / size + 0.001)]
-        a, b = left.agg(F.percentile_approx("v", share, 10_000)).first()[0]
+        a, b = low, high
+        if high - low < 2**63:
+            near, far = left.agg(F.percentile_approx(F.col("v") - F.lit(low).cast("long"), share, 10_000)).first()[0]
+            a, b = min(low + near, high), min(low + far, high)
         if (a, b) == (low, high):
-            b = low + (high - low) // 2  # the sketch no longer narrows: halve the range
+            b = low + (high - low) // 2  # the sketch does not narrow: halve the range
         before, inside = left.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v").between(a, b))).first()
         upto = below + before + inside
         if last < below + before:
@@ -135,13 +141,21 @@ def order_statistics(table: DataFrame, value, rank: int, few: int = 10_000) -> t
 
 
 def cutoff(table: DataFrame, time, share: float = SHARE) -> int | None:
-    """Time below which the oldest ``share`` of rows lies, interpolated between the two rows around it."""
-    n = table.filter(time.isNotNull()).count()
-    if not n:
-        return None
-    at = share * (n - 1)
-    low, high = order_statistics(table, time, int(at))
-    return round(float(low) + (float(high) - float(low)) * (at - int(at)))
+    """Time below which the oldest ``share`` of rows lies, interpolated between the two rows around it.
+
+    The times alone are kept on disk meanwhile: each pass over a table that comes of joins or
+    windows would shuffle all of it anew.
+    """
+    times = table.select(time.cast("long").alias("v")).filter("v is not null").persist(StorageLevel.DISK_ONLY)
+    try:
+        n = times.count()
+        if not n:
+            return None
+        at = share * (n - 1)
+        low, high = order_statistics(times, F.col("v"), int(at))
+        return round(float(low) + (float(high) - float(low)) * (at - int(at)))
+    finally:
+        times.unpersist()
 
 
 def prune_round(tables: Tables, share: float = SHARE) -> Tables:

@@ -239,6 +239,39 @@ def test_order_statistics(spark):
             assert retention.order_statistics(df, F.col("t"), rank, few=20) == (s[rank], s[min(rank + 1, len(s) - 1)])
 
 
+@pytest.mark.parametrize("spread", [1, 6, 300, 2**62])
+def test_order_statistics_of_times_closer_than_doubles_tell(spark, monkeypatch, spread):
+    import random
+
+    r, calls, sketch = random.Random(5), [], F.percentile_approx
+
+    def counted(*a):
+        calls.append(a)
+        assert len(calls) < 200, "the range no longer narrows"
+        return sketch(*a)
+
+    monkeypatch.setattr(retention.F, "percentile_approx", counted)
+    base = 1_700_000_000_000_000_000 if spread < 2**40 else -(2**61)
+    s = sorted(base + r.randint(0, spread) for _ in range(1000))
+    s = s if spread < 2**40 else [-(2**63), *s, 2**63 - 1]
+    df = spark.createDataFrame([(v,) for v in s], "t long").coalesce(1)
+    for rank in (0, len(s) // 10, len(s) // 2, len(s) - 1):
+        assert retention.order_statistics(df, F.col("t"), rank, few=20) == (s[rank], s[min(rank + 1, len(s) - 1)])
+
+
+def test_cutoff_computes_its_table_once(spark):
+    sc = spark.sparkContext
+    made, kept = sc.accumulator(0), len(sc._jsc.getPersistentRDDs())
+
+    def row(i):
+        made.add(1)
+        return (i * 10,)
+
+    df = spark.createDataFrame(sc.parallelize(range(3000), 2).map(row), "t long")
+    assert retention.cutoff(df, F.col("t")) == 2999
+    assert made.value == 3000 and len(sc._jsc.getPersistentRDDs()) == kept
+
+
 @pytest.fixture
 def small(spark, tmp_path):
     return Store(spark, str(tmp_path / "small"))
